@@ -19,6 +19,15 @@ def full_align(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, list(keys), "full_outer")
 
 
+def align_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join of two grouped results; NULL group values match each other."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    on = F.lit(True)
+    for k in by:
+        on = on & ref(k).eqNullSafe(ref(f"_r_{k}"))
+    return left.join(other, on, "left").drop(*[f"_r_{k}" for k in by])
+
+
 def star(base: DataFrame, sides: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Left-join sides that are unique on their key, each key kept once.
 

@@ -1,20 +1,32 @@
 """Exact percentiles without holding a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer. Here a sketch only *places cut points* around each wanted percentile;
-exact counts per slice then tell which slices hold the wanted ranks, and only
-those narrow slices are sorted. A poor sketch costs time, never correctness.
+buffer. Here the value range of a group is cut into slices; exact row counts
+per slice tell which slices hold the wanted ranks, and only those narrow slices
+are sorted. Slices follow from minimum and maximum alone, so a stage that is
+computed again places every row as before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import log1p
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
+from ledgerloom.operators.sizes import settle
+
+#: Slices grow geometrically from the minimum, over twelve decades.
+SPREAD = 1e12
+
+
+def _slice(slices: int) -> Column:
+    """Monotone slice number of ``_v`` between ``_lo`` and ``_hi``."""
+    part = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return F.floor(F.log1p(part * F.lit(SPREAD)) * F.lit(slices / log1p(SPREAD))).cast("int")
 
 
 def exact_percentiles(
@@ -22,63 +34,63 @@ def exact_percentiles(
     by: Sequence[str],
     value: str,
     wanted: Mapping[str, float],
-    accuracy: int = 10_000,
+    slices: int = 65_536,
+    small_group: int = 100_000,
 ) -> DataFrame:
     """One row per group: each name of ``wanted`` -> linearly interpolated percentile.
 
-    Matches ``percentile(value, p)``: rank p*(n-1), NULL values left out.
+    Matches ``percentile(value, p)``: rank p*(n-1), NULL values left out. The data
+    is read three times: for bounds and for slice counts (both run here), and for
+    the rows of the wanted slices (lazy). When the largest group is known to have
+    at most ``small_group`` rows, Spark's own ``percentile`` is used instead.
     """
     # Struct keys compare NULL fields as equal, so a NULL group joins to itself.
     keys = ["_g"]
     group = F.struct(*[ref(k) for k in by]) if by else F.struct(F.lit(1).alias("_all"))
     rows = df.where(ref(value).isNotNull()).select(group.alias("_g"), ref(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
-    marks = sorted({min(1.0, max(0.0, p + s)) for p in wanted.values() for s in (-slack, slack)})
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [float(m) for m in marks], accuracy).alias("_cuts")
-    )
-    sliced = (
-        rows.join(cuts, keys)
-        .withColumn("_slice", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (F.col("_v") > c).cast("int")))
-        .drop("_cuts")
+    bounds = settle(
+        rows.groupBy(*keys).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), (F.count(F.lit(1)) - F.lit(1)).alias("_last")
+        )
     )
-    # One row per (group, slice): at most len(marks) + 1 rows per group.
-    upto = W.partitionBy(*keys).orderBy("_slice")
-    slices = (
-        sliced.groupBy(*keys, "_slice")
+    if (bounds.agg(F.max("_last")).first()[0] or 0) < small_group:
+        direct = rows.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in wanted.items()])
+        return direct.select(*[F.col("_g")[k].alias(k) for k in by], *wanted)
+    sliced = rows.join(bounds, keys).select(*keys, "_v", "_last", _slice(slices).alias("_slice"))
+    # At most ``slices`` + 1 rows per group.
+    upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counted = (
+        sliced.groupBy(*keys, "_slice", "_last")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(W.partitionBy(*keys)))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     )
-    names = list(wanted)
-    slots = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(wanted[n])).alias("p")) for n in names])
-    ranks = (
-        slices.withColumn("_w", F.explode(slots))
-        .withColumn("_at", F.col("_w.p") * (F.col("_total") - 1))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_rank", F.when(F.col("_side") == 0, F.floor("_at")).otherwise(F.ceil("_at")))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-        .select(*keys, "_slice", "_before", F.col("_w.name").alias("_name"), "_at", "_side", "_rank")
+    # The two ranks around each percentile, kept by the slice they fall in.
+    ranks = []
+    for i, p in enumerate(wanted.values()):
+        at = F.col("_last") * F.lit(float(p))
+        for upper, rank in ((False, F.floor(at)), (True, F.ceil(at))):
+            ranks.append(F.struct(F.lit(i).alias("i"), F.lit(upper).alias("upper"), rank.alias("rank"), at.alias("at")))
+    inside_slice = lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_n"))
+    targets = settle(
+        counted.withColumn("_ranks", F.filter(F.array(*ranks), inside_slice))
+        .where(F.size("_ranks") > 0)
+        .select(*keys, "_slice", "_before", "_ranks")
     )
-    needed = ranks.select(*keys, "_slice", "_before").distinct()
-    inside = W.partitionBy(*keys, "_slice").orderBy("_v")
+    running = W.partitionBy(*keys, "_slice").orderBy("_v")
     spans = (
-        sliced.join(needed, [*keys, "_slice"])
-        .groupBy(*keys, "_slice", "_before", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_to", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-        .select(*keys, "_slice", "_v", "_from", "_to")
-    )
-    hit = ranks.join(spans, [*keys, "_slice"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    )
-    ends = hit.groupBy(*keys, "_name").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"),
-        F.max("_at").alias("_at"),
+        sliced.drop("_last").join(targets, [*keys, "_slice"])
+        .groupBy(*keys, "_slice", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), F.any_value("_before").alias("_before"), F.any_value("_ranks").alias("_ranks"))
+        .withColumn("_to", F.col("_before") + F.sum("_n").over(running))
     )
-    part = F.col("_at") - F.floor("_at")
-    value_at = ends.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part)
-    out = value_at.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in names])
-    return out.select(*[F.col("_g")[k].alias(k) for k in by], *names)
+    covered = lambda r: (r["rank"] >= F.col("_to") - F.col("_n")) & (r["rank"] < F.col("_to"))
+    found = spans.select(*keys, "_v", F.explode(F.filter("_ranks", covered)).alias("_r"))
+    columns = []
+    for i, name in enumerate(wanted):
+        mine = F.col("_r.i") == i
+        low = F.max(F.when(mine & ~F.col("_r.upper"), F.col("_v")))
+        high = F.max(F.when(mine & F.col("_r.upper"), F.col("_v")))
+        at = F.max(F.when(mine, F.col("_r.at")))
+        columns.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    out = found.groupBy(*keys).agg(*columns)
+    return out.select(*[F.col("_g")[k].alias(k) for k in by], *wanted)

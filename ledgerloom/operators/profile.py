@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import exact_sum, flag, ref
+from ledgerloom.operators.joins import align_groups
 from ledgerloom.operators.percentiles import exact_percentiles
 
 
@@ -106,7 +107,7 @@ def quartiles(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     ends = df.groupBy(*by).agg(
         F.min(ref(column)).alias("low"), F.max(ref(column)).alias("high"), F.count(ref(column)).alias("n")
     )
-    return ends.join(q, list(by), "left")
+    return align_groups(ends, q, by)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -176,7 +177,7 @@ def latency_stats(df: DataFrame, by: Sequence[str], latency: str, failed: Column
         F.try_divide(exact_sum(ref(latency)), F.count(ref(latency)).cast("double")).alias("avg_latency"),
     )
     p95 = exact_percentiles(df, by, latency, {"p95_latency": 0.95})
-    return base.join(p95, list(by), "left").withColumn(
+    return align_groups(base, p95, by).withColumn(
         "error_pct", F.col("errors") * F.lit(100.0) / F.col("requests")
     )
 
