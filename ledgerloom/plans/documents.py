@@ -105,21 +105,25 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1))
 
 
-def category_scores(text: Column, words: Mapping[str, Sequence[str]] = CATEGORY_WORDS) -> dict[str, Column]:
-    """Number of keyword hits per category, letter case ignored."""
-    return {
-        c: F.regexp_count(text, F.lit("(?i)" + "|".join(w.translate(_LITERAL) for w in ws))) for c, ws in words.items()
+def classify(
+    df: DataFrame, text: str, name: str = "product_category", words: Mapping[str, Sequence[str]] = CATEGORY_WORDS
+) -> DataFrame:
+    """Add the category with most keyword hits, letter case ignored.
+
+    Ties go to the earlier category; no hit gives NULL. Keywords are counted one
+    by one: a plain word is found by skipping search, an alternation is not.
+    The folded text is a column of its own, so that it is computed once.
+    """
+    folded = df.withColumn("_folded", F.lower(ref(text)))
+    hits = {
+        f"_hits_{i}": sum((F.regexp_count("_folded", F.lit(w.lower().translate(_LITERAL))) for w in ws), F.lit(0))
+        for i, ws in enumerate(words.values())
     }
-
-
-def classify(text: Column, words: Mapping[str, Sequence[str]] = CATEGORY_WORDS) -> Column:
-    """Category with most hits; ties go to the earlier category, no hit gives NULL."""
-    scores = category_scores(text, words)
-    order = F.array(
-        *[F.struct(s.alias("hits"), F.lit(-i).alias("order"), F.lit(c).alias("name")) for i, (c, s) in enumerate(scores.items())]
-    )
-    best = F.array_max(order)
-    return F.when(best["hits"] > 0, best["name"])
+    best = F.greatest(*[F.col(h) for h in hits])
+    pick = F.when(best == 0, None)
+    for h, category in zip(hits, words):
+        pick = pick.when(F.col(h) == best, F.lit(category))
+    return folded.withColumns(hits).withColumn(name, pick).drop("_folded", *hits)
 
 
 def extract_fields(text: Column, patterns: Mapping[str, str]) -> Column:
@@ -134,13 +138,12 @@ def brochure_patterns() -> dict[str, str]:
 
 def product_catalog(parsed: DataFrame) -> DataFrame:
     """Category and extracted fields per brochure."""
-    text = F.col("parsed_text")
-    return parsed.select(
+    return classify(parsed, "parsed_text").select(
         "file_path",
         "product_code",
-        classify(text).alias("product_category"),
+        "product_category",
         "parsed_at",
-        extract_fields(text, brochure_patterns()).alias("extracted_fields"),
+        extract_fields(F.col("parsed_text"), brochure_patterns()).alias("extracted_fields"),
         F.current_timestamp().alias("extracted_at"),
     )
 
@@ -151,18 +154,27 @@ def flat_catalog(catalog: DataFrame, struct: str = "extracted_fields") -> DataFr
 
 
 def screen(df: DataFrame, text: str) -> DataFrame:
-    """Flags for ids, account numbers and advice phrases, and the redacted text."""
+    """Flags for ids, account numbers and advice phrases, and the redacted text.
+
+    Texts are rewritten only where a flag says so.
+    """
     value = ref(text)
-    phrases = "|".join(p.translate(_LITERAL) for p in BANNED_PHRASES)
-    hidden = F.regexp_replace(F.regexp_replace(value, NATIONAL_ID, "[ID]"), ACCOUNT_NUMBER, "[ACCOUNT]")
-    return df.withColumns(
+    folded = F.lower(value)
+    banned = F.lit(False)
+    for phrase in BANNED_PHRASES:
+        banned = banned | folded.contains(phrase.lower())
+    flagged = df.withColumns(
         {
             "has_national_id": value.rlike(NATIONAL_ID),
             "has_account_number": value.rlike(ACCOUNT_NUMBER),
-            "has_banned_phrase": value.rlike("(?i)" + phrases),
-            "redacted": hidden,
+            "has_banned_phrase": banned,
         }
     )
+    no_ids = F.when(F.col("has_national_id"), F.regexp_replace(value, NATIONAL_ID, "[ID]")).otherwise(value)
+    hidden = F.when(
+        F.col("has_national_id") | F.col("has_account_number"), F.regexp_replace(no_ids, ACCOUNT_NUMBER, "[ACCOUNT]")
+    ).otherwise(value)
+    return flagged.withColumn("redacted", hidden)
 
 
 def customer_context(df: DataFrame) -> DataFrame:

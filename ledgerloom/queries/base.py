@@ -18,10 +18,12 @@ class Tables:
     """``t.orders`` reads ``<folder>/orders.parquet``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self._folder, self._open = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._open[name]
 
 
 def query(sql: str | None = None, name: str | None = None):

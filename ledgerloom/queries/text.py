@@ -35,7 +35,8 @@ WORDS = {
 
 
 def _hits(words) -> str:
-    return f"CAST(len(regexp_extract_all(text, '(?i){'|'.join(words)}')) AS INTEGER)"
+    gone = [f"(strlen(lower(text)) - strlen(replace(lower(text), '{w}', ''))) // {len(w)}" for w in words]
+    return f"({' + '.join(gone)})"
 
 
 @query(
@@ -44,7 +45,7 @@ SELECT doc_id, CASE WHEN greatest(h0, h1, h2, h3) = 0 THEN NULL
   {' '.join(f"WHEN h{i} = greatest(h0, h1, h2, h3) THEN '{c}'" for i, c in enumerate(WORDS))} END AS category FROM s"""
 )
 def q_doc_classify(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", d.classify(F.col("text"), WORDS).alias("category"))
+    return d.classify(t.documents.select("doc_id", "text"), "text", "category", WORDS).drop("text")
 
 
 #: Field -> pattern over "url <newline> html".
@@ -84,7 +85,7 @@ def _screened(source: str, key: str) -> str:
     return (
         f"SELECT '{source}' AS source, {key} AS id, CAST(regexp_matches(text, '{d.NATIONAL_ID}') AS INTEGER) AS has_national_id, "
         f"CAST(regexp_matches(text, '{d.ACCOUNT_NUMBER}') AS INTEGER) AS has_account_number, "
-        f"CAST(regexp_matches(text, '(?i){'|'.join(d.BANNED_PHRASES)}') AS INTEGER) AS has_banned_phrase, "
+        f"CAST(({' OR '.join(f'contains(lower(text), {chr(39)}{p.lower()}{chr(39)})' for p in d.BANNED_PHRASES)}) AS INTEGER) AS has_banned_phrase, "
         f"CAST(length({hidden}) AS BIGINT) AS redacted_chars FROM {source}"
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import DataType, StringType, StructType
 
 from ledgerloom.functions.columns import ref
 
@@ -20,41 +20,51 @@ def _blank_as_null(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) > 0, text)
 
 
-def _leftovers(entries: Column, bad: list[tuple[str, Column]], known: list[str]) -> Column:
-    """JSON of the unknown keys and of the known keys that failed to cast."""
-    names = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in bad])) if bad else F.array().cast("array<string>")
-    known_names = F.array(*[F.lit(k) for k in known])
-    kept = F.map_filter(
-        entries,
-        lambda k, v: v.isNotNull() & (~F.array_contains(known_names, k) | F.array_contains(names, k)),
-    )
-    return F.when(F.size(kept) > 0, F.to_json(kept))
+def _cast(text: Column, schema_type: DataType) -> tuple[Column, Column]:
+    """(typed value, whether the text did not fit)."""
+    if isinstance(schema_type, StringType):
+        return text, F.lit(False)
+    value = text.try_cast(schema_type.simpleString())
+    return value, text.isNotNull() & value.isNull()
 
 
 def rescue_columns(df: DataFrame, schema: StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """For all-text frames (CSV). Columns in ``keep`` pass through untouched."""
-    raw = [c for c in df.columns if c not in keep]
-    return _typed(df, F.create_map(*[x for c in raw for x in (F.lit(c), _blank_as_null(ref(c)))]), schema, keep)
+    typed, doubtful = [], []
+    for field in schema.fields:
+        text = _blank_as_null(ref(field.name)) if field.name in df.columns else F.lit(None).cast("string")
+        value, bad = _cast(text, field.dataType)
+        typed.append(value.alias(field.name))
+        if field.name in df.columns and not isinstance(field.dataType, StringType):
+            doubtful.append(F.when(bad, text).alias(field.name))
+    for name in df.columns:
+        if name not in keep and name not in schema.fieldNames():
+            doubtful.append(_blank_as_null(ref(name)).alias(name))
+    rescued = F.lit(None).cast("string")
+    if doubtful:
+        # NULL fields are left out of the JSON text.
+        rescued = F.when(F.coalesce(*doubtful).isNotNull(), F.to_json(F.struct(*doubtful)))
+    return df.select(*typed, rescued.alias(RESCUED), *[ref(k) for k in keep])
 
 
 def rescue_map(df: DataFrame, entries: str, schema: StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """For frames with one map of raw fields (JSON objects read as text)."""
-    return _typed(df, ref(entries), schema, keep)
-
-
-def _typed(df: DataFrame, entries: Column, schema: StructType, keep: tuple[str, ...]) -> DataFrame:
-    carried = df.select(entries.alias("_raw"), *[ref(k) for k in keep])
-    typed, bad = [], []
+    raw = ref(entries)
+    typed, failed = [], []
     for field in schema.fields:
-        text = F.try_element_at(F.col("_raw"), F.lit(field.name))
-        if isinstance(field.dataType, StringType):
-            typed.append(text.alias(field.name))
-            continue
-        value = text.try_cast(field.dataType.simpleString())
+        value, bad = _cast(F.try_element_at(raw, F.lit(field.name)), field.dataType)
         typed.append(value.alias(field.name))
-        bad.append((field.name, text.isNotNull() & value.isNull()))
-    rescued = _leftovers(F.col("_raw"), bad, schema.fieldNames())
-    return carried.select(*typed, rescued.alias(RESCUED), *[ref(k) for k in keep])
+        if not isinstance(field.dataType, StringType):
+            failed.append(F.when(bad, F.lit(field.name)))
+    known = F.array(*[F.lit(n) for n in schema.fieldNames()])
+    broken = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    # Most rows have neither unknown nor broken fields and skip the map work.
+    odd = (F.size(broken) > 0) | (F.size(F.array_except(F.map_keys(raw), known)) > 0)
+    left = F.map_filter(
+        raw, lambda k, v: v.isNotNull() & (F.array_contains(broken, k) | ~F.array_contains(known, k))
+    )
+    rescued = F.when(odd, F.when(F.size(left) > 0, F.to_json(left)))
+    return df.select(*typed, rescued.alias(RESCUED), *[ref(k) for k in keep])
 
 
 def json_fields(text: Column) -> Column:
