@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import ref
+
+# How a letter starts and ends.
 GREETING = r"Dear |Subject:|Hi |Greetings"
 CLOSING = r"Regards|Sincerely|Warm regards|Best"
 
@@ -14,31 +17,43 @@ def _non_blank(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, trimmed)
 
 
-def _letter_in(reasoning: Column, keep_last: int) -> Column:
-    """The letter inside a reasoning text, else its last lines.
+def _first_match(lines: Column, pattern: str) -> Column:
+    """Position (from 1) of the first line with the pattern; 0 when there is none."""
+    return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True).cast("int")
+
 
-    A letter starts at the first line with a greeting and ends at the first
-    later line with a closing formula (or at the end of the text).
+def reply_text(df: DataFrame, reply: str, name: str = "reply_text", keep_last: int = 15) -> DataFrame:
+    """Add the answer text of a reply.
+
+    It is the message content; else the letter inside the reasoning (from the
+    first line with a greeting to the first later line with a closing formula);
+    else the last lines of the reasoning; else the first prediction; else an
+    empty string, also for text that is not JSON. Steps are columns of their
+    own, so that nothing is parsed twice.
     """
-    lines = F.filter(F.transform(F.split(reasoning, "\n"), F.trim), lambda x: F.length(x) > 0)
-    starts = F.transform(lines, lambda x: x.rlike(GREETING))
-    first = F.array_position(starts, True)
-    body = F.slice(lines, F.when(first > 0, first).otherwise(1).cast("int"), F.size(lines))
-    ends = F.array_position(F.transform(body, lambda x: x.rlike(CLOSING)), True)
-    letter = F.when(ends > 0, F.slice(body, F.lit(1), ends.cast("int"))).otherwise(body)
-    skip = F.greatest(F.size(lines) - F.lit(keep_last), F.lit(0))
-    tail = F.slice(lines, skip + F.lit(1), F.lit(keep_last))
-    return F.array_join(F.when(first > 0, letter).otherwise(tail), "\n")
-
-
-def reply_text(reply: Column, keep_last: int = 15) -> Column:
-    """Answer text: message content, else the letter in the reasoning, else the
-    first prediction, else an empty string. Non-JSON input gives an empty string."""
-    content = _non_blank(F.get_json_object(reply, "$.choices[0].message.content"))
-    reasoning = _non_blank(F.get_json_object(reply, "$.choices[0].message.reasoning_content"))
-    return F.coalesce(
-        content,
-        F.when(reasoning.isNotNull(), _letter_in(reasoning, keep_last)),
-        F.get_json_object(reply, "$.predictions[0]"),
+    message = "$.choices[0].message."
+    trimmed = F.transform(F.split("_thought", "\n"), lambda x: F.trim(x))
+    steps = [
+        ("_content", _non_blank(F.get_json_object(ref(reply), message + "content"))),
+        ("_thought", F.when(F.col("_content").isNull(), _non_blank(F.get_json_object(ref(reply), message + "reasoning_content")))),
+        ("_lines", F.filter(trimmed, lambda x: F.length(x) > 0)),
+        ("_from", _first_match(F.col("_lines"), GREETING)),
+        ("_letter", F.when(F.col("_from") > 0, F.slice("_lines", F.col("_from"), F.size("_lines")))),
+        ("_to", _first_match(F.col("_letter"), CLOSING)),
+    ]
+    out = df
+    for column, value in steps:
+        out = out.withColumn(column, value)
+    skip = F.greatest(F.size("_lines") - F.lit(keep_last), F.lit(0))
+    shown = (
+        F.when(F.col("_to") > 0, F.slice("_letter", F.lit(1), F.col("_to")))
+        .when(F.col("_from") > 0, F.col("_letter"))
+        .otherwise(F.slice("_lines", skip + F.lit(1), F.lit(keep_last)))
+    )
+    answer = F.coalesce(
+        "_content",
+        F.when(F.col("_thought").isNotNull(), F.array_join(shown, "\n")),
+        F.get_json_object(ref(reply), "$.predictions[0]"),
         F.lit(""),
     )
+    return out.withColumn(name, answer).drop(*[c for c, _ in steps])

@@ -123,4 +123,4 @@ def q_reply_text(t: Tables) -> DataFrame:
         .when(F.col("role") == "system", F.to_json(F.struct(F.array("text").alias("predictions"))))
         .otherwise(choice(F.struct(F.lit(" ").alias("content"), F.col("text").alias("reasoning_content"))))
     )
-    return t.conversations.select("conv_id", "turn", reply_text(body).alias("reply"))
+    return reply_text(t.conversations.select("conv_id", "turn", body.alias("body")), "body", "reply").drop("body")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ledgerloom.functions.columns import quoted, ref
 from ledgerloom.operators.joins import require_unique, upsert
 from ledgerloom.session import shared_dir
+from ledgerloom.sources.queries import scan
 
 
 def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
@@ -36,7 +37,7 @@ def create_like(df: DataFrame, table: str) -> None:
 
 def evolve(spark: SparkSession, table: str, incoming: StructType) -> list[str]:
     """Add the columns the table lacks; old rows read NULL. Returns their names."""
-    have = {f.name.lower(): f for f in spark.read.table(table).schema.fields}
+    have = {f.name.lower(): f for f in scan(spark, table).schema.fields}
     new = [f for f in incoming.fields if f.name.lower() not in have]
     if new:
         cols = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in new)
@@ -50,7 +51,7 @@ def append(df: DataFrame, table: str, evolving: bool = True) -> None:
     create_like(df, table)
     if evolving:
         evolve(spark, table, df.schema)
-    target = spark.read.table(table).schema
+    target = scan(spark, table).schema
     have = {c.lower(): c for c in df.columns}
     aligned = df.select(
         *[
@@ -73,7 +74,7 @@ def merge(df: DataFrame, table: str, keys: Sequence[str]) -> None:
     spark = df.sparkSession
     create_like(df, table)
     staged = f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}"
-    upsert(spark.read.table(table), df, keys).write.parquet(staged)
+    upsert(scan(spark, table), df, keys).write.parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").insertInto(table)
     remove(spark, staged)
 

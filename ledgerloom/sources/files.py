@@ -79,17 +79,14 @@ def read_feed(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
     """All rows of the named files."""
     if feed.fmt == "csv":
         return read_csv_files(spark, paths, feed.schema)
-    lines = spark.read.option("wholetext", feed.multi_line).text(paths)
+    lines = spark.read.text(paths, wholetext=feed.multi_line)
     return read_json_text(lines, feed.schema, feed.multi_line)
 
 
 def stream_json(spark: SparkSession, feed: Feed, folder: str) -> DataFrame:
     """Streaming rows of a JSON feed, throttled by files per micro-batch."""
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", feed.max_files)
-        .option("wholetext", feed.multi_line)
-        .text(folder)
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", feed.max_files)
+    lines = reader.text(folder, wholetext=feed.multi_line)
     return read_json_text(lines, feed.schema, feed.multi_line)
 
 

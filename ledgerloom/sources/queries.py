@@ -28,6 +28,9 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
+    """The table as it is now: streams write from sessions of their own, so the
+    file list and schema this session may have cached are dropped first."""
+    spark.catalog.refreshTable(name)
     return spark.read.table(name)
 
 

@@ -12,6 +12,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.operators import history
 from ledgerloom.session import shared_dir
 from ledgerloom.sinks import tables
+from ledgerloom.sources.queries import scan
 from ledgerloom.streaming.ingest import start
 
 BUCKET = "_key_bucket"
@@ -63,7 +64,7 @@ class HistoryWriter:
             tables.evolve(spark, self.table, batch.drop(*self.exclude).schema)
             # At most ``buckets`` numbers; they prune the partitions to read.
             touched = [r[0] for r in new.select(BUCKET).distinct().collect()]
-            known = spark.read.table(self.table).where(F.col(BUCKET).isin(touched))
+            known = scan(spark, self.table).where(F.col(BUCKET).isin(touched))
             new = known.drop(history.START, history.END).unionByName(new, allowMissingColumns=True)
         versions = history.scd2(new, self.keys, self.seq, self.tie, segment=self.segment)
         versions.write.mode("overwrite").parquet(stage)
@@ -75,7 +76,7 @@ class HistoryWriter:
         if not spark.catalog.tableExists(self.table):
             spread.write.partitionBy(BUCKET).saveAsTable(self.table)
             return
-        names = spark.read.table(self.table).columns
+        names = scan(spark, self.table).columns
         old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.schemas import Feed
 from ledgerloom.sinks import tables
 from ledgerloom.sources.files import read_csv_files, stream_file_names, stream_json
+from ledgerloom.sources.queries import scan
 from ledgerloom.sources.rescue import RESCUED
 
 BATCH = "_batch"
@@ -27,8 +28,8 @@ def append_once(table: str, checkpoint: str, build: Callable[[DataFrame], DataFr
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mark = f"{checkpoint}#{batch_id}"
-        if spark.catalog.tableExists(table) and BATCH in spark.read.table(table).columns:
-            if not spark.read.table(table).where(F.col(BATCH) == mark).isEmpty():
+        if spark.catalog.tableExists(table) and BATCH in scan(spark, table).columns:
+            if not scan(spark, table).where(F.col(BATCH) == mark).isEmpty():
                 return
         tables.append(build(batch).withColumn(BATCH, F.lit(mark)), table)
 
