@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
-    """value, share; the window sees one row per distinct value."""
+    """value, share; the total is a scalar subquery over the counts."""
     counts = df.groupBy(ref(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("share"))
+    return counts.select("value", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def js_distance(baseline: DataFrame, recent: DataFrame, column: str) -> DataFrame:

@@ -74,7 +74,7 @@ def lookup_with_fallback(
 
 def referential_split(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
     """(rows with a parent, rows without). NULL keys count as without."""
-    known = parent.select(ref(parent_key).alias("_parent")).distinct()
+    known = parent.select(ref(parent_key).alias("_parent"))
     on = ref(child_key) == F.col("_parent")
     return child.join(known, on, "left_semi"), child.join(known, on, "left_anti")
 

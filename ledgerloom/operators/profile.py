@@ -1,7 +1,6 @@
 """Profiling aggregates: frequencies, shares, statistics, histograms, metrics.
 
-All are single partial/final aggregations unless noted; windows run over
-aggregated rows only (one row per class, bin or day).
+All are single partial/final aggregations unless noted.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import exact_sum, flag, ref
@@ -130,9 +128,9 @@ def conditional_share(df: DataFrame, among: Column, eligible: Column) -> DataFra
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    """label, n, share; the total is summed over the label rows, not the data."""
+    """label, n, share; the total is a scalar subquery over the label counts."""
     counts = df.groupBy(ref(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def table_stats(tables: Mapping[str, DataFrame], freshness: Mapping[str, str] | None = None) -> DataFrame:

@@ -17,6 +17,16 @@ def top(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(key)).limit(n)
 
 
+def some(df: DataFrame, n: int) -> DataFrame:
+    """Any n rows, for a look at the data."""
+    return df.limit(n)
+
+
+def sample(df: DataFrame, keys: Sequence[str], share: float, seed: int = 42) -> DataFrame:
+    """A share of the rows by key hash: the same rows on every run and cluster."""
+    return df.where(F.pmod(_slot(keys, seed), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
 def page(
     df: DataFrame, sort: str, key: str, number: int, size: int = 25, descending: bool = False, text: bool = False
 ) -> DataFrame:

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.columns import ref
 from ledgerloom.functions.encoding import one_hot
 from ledgerloom.operators import profile
-from ledgerloom.operators.ranking import stratified_split
+from ledgerloom.operators.ranking import resolve_version, stratified_split
 from ledgerloom.schemas import FEATURES, LABEL_CLASSES
 from ledgerloom.sinks import tables
+from ledgerloom.sources.queries import scan
 
 RUNS_DDL = "run_name string, algorithm string, macro_f1 double, n_train bigint, n_test bigint, params string, logged_at timestamp"
 
@@ -200,3 +201,30 @@ def log_run(spark: SparkSession, run: Run, table: str, n_train: int, n_test: int
 def top_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("macro_f1"), "run_name").limit(n)
 
+
+VERSIONS_DDL = "model string, version int, alias string, path string, registered_at timestamp"
+
+
+def publish(spark: SparkSession, fitted: PipelineModel, root: str, name: str, version: int, table: str, alias: str | None = None) -> str:
+    """Save a fitted model below ``root`` and list it, with an optional alias, in the version table."""
+    path = f"{root}/{name}/v{version}"
+    fitted.write().overwrite().save(path)
+    tables.create_empty(spark, table, VERSIONS_DDL)
+    row = spark.range(1).select(
+        F.lit(name).alias("model"),
+        F.lit(version).alias("version"),
+        F.lit(alias).cast("string").alias("alias"),
+        F.lit(path).alias("path"),
+        F.current_timestamp().alias("registered_at"),
+    )
+    tables.append(row, table)
+    return path
+
+
+def resolve(spark: SparkSession, table: str, name: str) -> tuple[int, PipelineModel]:
+    """The champion, else the dev, else the latest version of a model, loaded."""
+    versions = scan(spark, table).where(F.col("model") == name)
+    found = resolve_version(versions, "model", "version", "alias").join(versions, ["model", "version"]).select("version", "path").first()
+    if found is None:
+        raise LookupError(f"no version of model {name!r} in {table}")
+    return found["version"], PipelineModel.load(found["path"])

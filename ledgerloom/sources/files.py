@@ -114,3 +114,13 @@ def read_documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
 
 def rate(spark: SparkSession, rows_per_second: int = 2) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+
+
+def expand_json(df: DataFrame, column: str, ddl: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of a JSON text column as columns, beside the kept ones; batch or stream."""
+    return df.select(F.from_json(column, ddl).alias("_event"), *keep).select("_event.*", *keep)
+
+
+def example_schema(spark: SparkSession, example: str) -> str:
+    """DDL of an example document, to be checked in as the feed's schema."""
+    return spark.range(1).select(F.schema_of_json(F.lit(example))).first()[0]

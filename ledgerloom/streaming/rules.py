@@ -27,8 +27,13 @@ def apply_rules(
         outputs.append(append_once(metrics, checkpoint, rules.metrics))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rules.enforce(batch)
-        for write in outputs:
-            write(batch, batch_id)
+        # Several outputs read the batch; lost cached blocks are read again.
+        batch.persist()
+        try:
+            rules.enforce(batch)
+            for write in outputs:
+                write(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return start(stream, checkpoint, each, trigger)

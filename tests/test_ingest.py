@@ -143,6 +143,22 @@ def test_rate_source_status_and_stop(spark, table, tmp_path):
     assert not query.isActive and ingest.running(spark) == []
 
 
+def test_events_from_json_text(spark, table, tmp_path):
+    ddl = "user string, n bigint"
+    assert files.example_schema(spark, '{"user": "a", "n": 1}') == "STRUCT<n: BIGINT, user: STRING>"
+    name = table()
+    events = files.rate(spark, 50).select(
+        F.to_json(F.struct(F.lit("u").alias("user"), F.col("value").alias("n"))).alias("body"), "timestamp"
+    )
+    query = ingest.append_stream(files.expand_json(events, "body", ddl, ("timestamp",)), name, str(tmp_path / "cp"), {"processingTime": "1 second"})
+    query.processAllAvailable()
+    while not query.lastProgress or not query.lastProgress["numInputRows"]:
+        query.awaitTermination(1)
+    query.stop()
+    df = scan(spark, name)
+    assert df.columns == ["user", "n", "timestamp"] and df.where("user = 'u' AND n >= 0").count() == df.count() > 0
+
+
 def test_sql_source_and_catalog(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y' OR '1'='1")], "id int, name string")
     got = run_sql(spark, "SELECT id FROM {d} WHERE name = :n", {"d": df}, {"n": "y' OR '1'='1", "other": 1})

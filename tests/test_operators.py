@@ -166,6 +166,14 @@ def test_search_and_pages(spark):
     assert [r["id"] for r in ranking.page_after(df, "id", 3, 5).collect()] == [4, 5]
 
 
+def test_samples(spark):
+    df = spark.range(20000)
+    part = ranking.sample(df, ["id"], 0.1)
+    assert abs(part.count() - 2000) < 200
+    assert rows(part) == rows(ranking.sample(df.repartition(5), ["id"], 0.1))
+    assert ranking.some(df, 7).count() == 7
+
+
 def test_scalar_edges(spark):
     df = spark.createDataFrame(
         [(999.4, "mary  ann lee", "=1+1"), (1500.0, "x", "-2"), (None, "", "fine"), (2.5e6, None, "\tz"), (3.04e9, "é b", None)],
