@@ -54,25 +54,26 @@ def inference_log(scored: DataFrame, version: str, scored_at: Column | None = No
     )
 
 
-def payload_label(response: Column, classes: Sequence[str]) -> Column:
-    """Label in a served response: a label or class index as it is, or the class
-    with the highest probability when the first prediction is an array."""
-    first = F.get_json_object(response, "$.predictions[0]")
-    values = F.from_json(first, "array<double>")
-    best = F.get(ranked(values, classes), 0)["label"]
-    return F.when(first.startswith("["), best).otherwise(label_of(first, classes))
-
-
 def eval_log(payloads: DataFrame, classes: Sequence[str], request_id: str = "request_id") -> DataFrame:
-    """request_id, predicted_label, scored_at, source from a served-request log."""
-    return (
-        payloads.select(
-            ref(request_id).alias("request_id"),
-            payload_label(F.col("response"), classes).alias("predicted_label"),
-            epoch_millis(F.col("timestamp_ms")).alias("scored_at"),
-            F.lit("realtime_endpoint").alias("source"),
-        ).where(F.col("predicted_label").isNotNull())
+    """request_id, predicted_label, scored_at, source from a served-request log.
+
+    The first prediction may be a label or class index, taken as it is, or an
+    array of class probabilities, of which the highest counts. Requests without
+    a prediction are left out.
+    """
+    first = payloads.withColumn("_first", F.get_json_object("response", "$.predictions[0]")).where(
+        F.col("_first").isNotNull()
     )
+    listed = F.when(F.col("_first").startswith("["), F.from_json("_first", "array<double>"))
+    parsed = first.withColumn("_p", listed)
+    # Position of the first maximum: ties go to the earlier class.
+    best = F.try_element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("_p", F.array_max("_p")).cast("int"))
+    return parsed.select(
+        ref(request_id).alias("request_id"),
+        F.when(F.col("_p").isNotNull(), best).otherwise(label_of(F.col("_first"), classes)).alias("predicted_label"),
+        epoch_millis(F.col("timestamp_ms")).alias("scored_at"),
+        F.lit("realtime_endpoint").alias("source"),
+    ).where(F.col("predicted_label").isNotNull())
 
 
 def eval_log_from_batch(log: DataFrame) -> DataFrame:
