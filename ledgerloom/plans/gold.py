@@ -159,19 +159,26 @@ def card_measures(as_of: Column, credit_only: bool = True) -> list[m.Measure]:
     ]
 
 
+def agg_payments(txns: DataFrame, as_of: Column, settled_only: bool = False) -> DataFrame:
+    return m.rollup(txns, ["party_id"], transaction_measures(as_of, settled_only))
+
+
+def agg_cards(cards: DataFrame, as_of: Column, credit_only: bool = True) -> DataFrame:
+    return m.rollup(cards, ["party_id"], card_measures(as_of, credit_only))
+
+
 def agg_transactions(txns: DataFrame, cards: DataFrame, as_of: Column, settled_only: bool = False, credit_only: bool = True) -> DataFrame:
     """Payment and card behaviour; customers with only one of the two are kept."""
-    payments = m.rollup(txns, ["party_id"], transaction_measures(as_of, settled_only))
-    return full_align(payments, m.rollup(cards, ["party_id"], card_measures(as_of, credit_only)), ["party_id"])
+    return full_align(agg_payments(txns, as_of, settled_only), agg_cards(cards, as_of, credit_only), ["party_id"])
 
 
-def agg_digital(activity: DataFrame, as_of: Column) -> DataFrame:
-    """App and telco engagement from the unified activity table."""
+def agg_app(activity: DataFrame, as_of: Column) -> DataFrame:
+    """App sessions and product views, from the unified activity table."""
     stamp = F.col("event_timestamp")
     recent = stamp >= F.date_sub(as_of, 30).cast("timestamp")
     viewed = F.col("event_type") == "view_product"
     category = F.col("product_category_viewed")
-    app = m.rollup(
+    return m.rollup(
         activity.where(F.col("source") == "digital_banking"),
         ["party_id"],
         [
@@ -180,7 +187,11 @@ def agg_digital(activity: DataFrame, as_of: Column) -> DataFrame:
             m.latest("last_product_category_viewed", category, [stamp, F.col("event_id")], viewed & category.isNotNull()),
         ],
     )
-    telco = m.rollup(
+
+
+def agg_telco(activity: DataFrame) -> DataFrame:
+    """Means of the telco signals, from the unified activity table."""
+    return m.rollup(
         activity.where(F.col("source") == "telco"),
         ["party_id"],
         [
@@ -189,12 +200,19 @@ def agg_digital(activity: DataFrame, as_of: Column) -> DataFrame:
             m.mean("telco_arpu_myr", F.col("arpu_myr"), 4),
         ],
     )
-    return full_align(app, telco, ["party_id"]).withColumns(
-        {
-            "digital_activity_score": scalars.digital_score(F.col("mobile_sessions_30d"), F.col("digital_maturity_score")),
-            "telco_data_consumption_gb_monthly": scalars.megabytes_to_gigabytes(F.col("data_consumption_mb_monthly")),
-        }
-    )
+
+
+def digital_scores() -> dict[str, Column]:
+    """Columns derived from app and telco figures of one customer."""
+    return {
+        "digital_activity_score": scalars.digital_score(F.col("mobile_sessions_30d"), F.col("digital_maturity_score")),
+        "telco_data_consumption_gb_monthly": scalars.megabytes_to_gigabytes(F.col("data_consumption_mb_monthly")),
+    }
+
+
+def agg_digital(activity: DataFrame, as_of: Column) -> DataFrame:
+    """App and telco engagement; customers with only one of the two are kept."""
+    return full_align(agg_app(activity, as_of), agg_telco(activity), ["party_id"]).withColumns(digital_scores())
 
 
 def latest_bureau(kyc: DataFrame) -> DataFrame:
@@ -227,24 +245,36 @@ def customer_360(
     customers: DataFrame,
     accounts: DataFrame,
     loans: DataFrame,
-    transactions: DataFrame,
+    payments: DataFrame,
+    cards: DataFrame,
     bureau: DataFrame,
-    digital: DataFrame,
+    app: DataFrame,
+    telco: DataFrame,
     as_of: Column,
     identity: Sequence[str] = IDENTITY,
     stamp: bool = True,
 ) -> DataFrame:
-    """One row per active customer; every side must be unique on its key."""
+    """One row per active customer; every side must be unique on its key.
+
+    Payments and cards, app and telco come as separate sides: left joins from
+    the customers keep the partitioning on ``party_id``, a full join of two
+    sides would lose it.
+    """
+    seen = lambda side, flag_name: side.withColumn(flag_name, F.lit(True))
     joined = star(
         customers,
         [
             (accounts, "party_id"),
             (loans, "party_id"),
-            (transactions, "party_id"),
-            (digital, "party_id"),
+            (payments, "party_id"),
+            (cards, "party_id"),
+            (seen(app, "_app"), "party_id"),
+            (seen(telco, "_telco"), "party_id"),
             (bureau, "cif_number"),
         ],
     )
+    engaged = F.col("_app").isNotNull() | F.col("_telco").isNotNull()
+    joined = joined.withColumns({c: F.when(engaged, v) for c, v in digital_scores().items()})
     types = dict(joined.dtypes)
 
     def filled(columns: dict[str, object]) -> list[Column]:

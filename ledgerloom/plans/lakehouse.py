@@ -84,13 +84,16 @@ class Lakehouse:
         """Rebuild ``gold_customer_360`` as of a day (default: today)."""
         spark = self.spark
         day: Column = F.lit(as_of) if as_of else F.current_date()
+        activity = scan(spark, "silver_digital_activity")
         wide = gold.customer_360(
             current(scan(spark, "silver_customers")),
             gold.agg_accounts(current(scan(spark, "silver_deposit_accounts"))),
             gold.agg_loans(current(scan(spark, "silver_loan_accounts"))),
-            gold.agg_transactions(scan(spark, "silver_transactions"), scan(spark, "silver_card_transactions"), day),
+            gold.agg_payments(scan(spark, "silver_transactions"), day),
+            gold.agg_cards(scan(spark, "silver_card_transactions"), day),
             gold.latest_bureau(scan(spark, "silver_kyc_compliance")),
-            gold.agg_digital(scan(spark, "silver_digital_activity"), day),
+            gold.agg_app(activity, day),
+            gold.agg_telco(activity),
             day,
         )
         tables.overwrite(wide, "gold_customer_360")

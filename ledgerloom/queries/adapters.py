@@ -143,17 +143,22 @@ def activity(t: Tables) -> DataFrame:
     return union_tagged({"digital_banking": app, "telco": telco})
 
 
-def agg_transactions(t: Tables) -> DataFrame:
+def agg_payments(t: Tables) -> DataFrame:
     """Line items shrink to one row per order before they meet the owner."""
+    return _through_orders(t, t.lineitem.selectExpr(*PAYMENTS), gold.transaction_measures(as_of()))
+
+
+def agg_cards(t: Tables) -> DataFrame:
+    return _through_orders(t, t.lineitem.where(F.col("l_linestatus") == "F").selectExpr(*CARDS), gold.card_measures(as_of()))
+
+
+def _through_orders(t: Tables, facts: DataFrame, measures: list[m.Measure]) -> DataFrame:
     owners = t.orders.select("o_orderkey", F.col("o_custkey").alias("party_id"))
-    payments = m.rollup_through(
-        t.lineitem.selectExpr(*PAYMENTS), "l_orderkey", owners, "o_orderkey", "party_id", gold.transaction_measures(as_of())
-    )
-    cards = m.rollup_through(
-        t.lineitem.where(F.col("l_linestatus") == "F").selectExpr(*CARDS),
-        "l_orderkey", owners, "o_orderkey", "party_id", gold.card_measures(as_of()),
-    )
-    return full_align(payments, cards, ["party_id"])
+    return m.rollup_through(facts, "l_orderkey", owners, "o_orderkey", "party_id", measures)
+
+
+def agg_transactions(t: Tables) -> DataFrame:
+    return full_align(agg_payments(t), agg_cards(t), ["party_id"])
 
 
 IDENTITY = [
@@ -167,9 +172,11 @@ def customer_360(t: Tables) -> DataFrame:
         customers(t),
         gold.agg_accounts(accounts(t)),
         gold.agg_loans(loans(t)),
-        agg_transactions(t),
+        agg_payments(t),
+        agg_cards(t),
         gold.latest_bureau(bureau(t)),
-        gold.agg_digital(activity(t), events_as_of()),
+        gold.agg_app(activity(t), events_as_of()),
+        gold.agg_telco(activity(t)),
         as_of(),
         identity=IDENTITY,
         stamp=False,
