@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
 from ledgerloom.functions.scalars import contains_ignore_case
+from ledgerloom.operators.sizes import settle
 
 
 def top(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
@@ -79,7 +80,8 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str, test_share:
 
     Rows are placed by a hash of their key. The cut of each class is the exact
     rank in hash order; a class with fewer than two rows trains only. Ranks
-    come from counts per hash slice, so no class is sorted in one task.
+    come from counts per hash slice, so no class is sorted in one task. The cuts
+    (one row per class) are computed here, in one job.
     """
     h = _slot(keys, seed)
     rows = df.withColumn("_h", h).withColumn("_s", F.shiftrightunsigned(F.col("_h"), 52).cast("int"))
@@ -98,10 +100,8 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str, test_share:
         ).otherwise(F.struct((acc["seen"] + x["_n"]).alias("seen"), acc["at"].alias("at"), acc["left"].alias("left"))),
     )
     cuts = per_class.withColumn("_want", want.cast("long")).select("_l", F.col("_want"), walk.alias("_cut"))
-    joined = rows.join(
-        cuts.select("_l", "_want", F.col("_cut.at").alias("_at"), F.col("_cut.left").alias("_left")),
-        ref(label).eqNullSafe(F.col("_l")),
-    )
+    small = settle(cuts.select("_l", "_want", F.col("_cut.at").alias("_at"), F.col("_cut.left").alias("_left")))
+    joined = rows.join(small, ref(label).eqNullSafe(F.col("_l")))
     edge = joined.where(F.col("_s") == F.col("_at")).withColumn(
         "_r", F.row_number().over(W.partitionBy("_l", "_s").orderBy("_h", *[ref(k) for k in keys]))
     )

@@ -21,6 +21,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.functions.encoding import one_hot
 from ledgerloom.operators import profile
 from ledgerloom.operators.ranking import resolve_version, stratified_split
+from ledgerloom.operators.sizes import settle
 from ledgerloom.schemas import FEATURES, LABEL_CLASSES
 from ledgerloom.sinks import tables
 from ledgerloom.sources.queries import scan
@@ -88,7 +89,8 @@ def split(rows: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
 def balanced(train: DataFrame, spec: Spec) -> DataFrame:
     """Weight n / (classes * n_class) per row; the counts have one row per class."""
     counts = train.groupBy(ref(spec.label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    weights = counts.select("_l", (F.sum("_n").over(W.partitionBy()) / (F.count("_n").over(W.partitionBy()) * F.col("_n"))).alias("weight"))
+    share = counts.agg((F.sum("_n") / F.count("_n")).alias("s")).scalar()
+    weights = settle(counts.select("_l", (share / F.col("_n")).alias("weight")))
     return train.join(weights, ref(spec.label) == F.col("_l")).drop("_l")
 
 
@@ -165,7 +167,7 @@ def importances(model: PipelineModel, spec: Spec) -> list[tuple[str, float]]:
     return sorted(((c, float(values[i])) for i, c in enumerate(spec.features)), key=lambda x: (-x[1], x[0]))
 
 
-def shuffled(rows: DataFrame, key: str, column: str, seed: int, slices: int = 1024) -> DataFrame:
+def shuffled(rows: DataFrame, key: str, column: str, seed: int, slices: int) -> DataFrame:
     """The frame with one column permuted among rows of the same hash slice."""
     base = rows.withColumn("_s", F.pmod(F.xxhash64(ref(key), F.lit(seed)), F.lit(slices)))
     order = lambda s: F.row_number().over(W.partitionBy("_s").orderBy(F.xxhash64(ref(key), F.lit(s)), ref(key)))
@@ -177,9 +179,10 @@ def shuffled(rows: DataFrame, key: str, column: str, seed: int, slices: int = 10
 def permutation_importance(model: PipelineModel, test: DataFrame, spec: Spec, columns: Sequence[str] | None = None) -> list[tuple[str, float]]:
     """Loss of macro F1 when a feature is permuted; works for any model kind."""
     base = profile.macro_f1(evaluate(model, test, spec)).first()["macro_f1"]
+    slices = max(1, test.count() // 100_000)
     drops = []
     for c in columns or spec.features:
-        score = profile.macro_f1(evaluate(model, shuffled(test, spec.key, c, spec.seed), spec)).first()["macro_f1"]
+        score = profile.macro_f1(evaluate(model, shuffled(test, spec.key, c, spec.seed, slices), spec)).first()["macro_f1"]
         drops.append((c, base - score))
     return sorted(drops, key=lambda x: (-x[1], x[0]))
 

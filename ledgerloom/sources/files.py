@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 from collections import defaultdict
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,12 @@ def _stamped(df: DataFrame) -> DataFrame:
 
 def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType) -> DataFrame:
     """Rescued read of the named CSV files (one header look-up per file)."""
+    listed = list(paths)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda path: _first_line(spark, path), listed))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        groups[tuple(next(csv.reader([_first_line(spark, path)]), []))].append(path)
+    for path, header in zip(listed, headers):
+        groups[tuple(next(csv.reader([header]), []))].append(path)
     out = None
     for header, members in groups.items():
         if not header:

@@ -66,11 +66,13 @@ def test_two_folders_feed_one_table(spark, table, tmp_path):
 
 def test_replayed_batch_is_skipped(spark, table):
     name = table()
-    write = ingest.append_once(name, "cp", lambda df: df)
     batch = spark.createDataFrame([(1,), (2,)], "v int")
-    for batch_id in (0, 0, 1):
-        write(batch, batch_id)
-    assert scan(spark, name).count() == 4
+    for restart in ((0, 1), (1, 2), (2,)):
+        write = ingest.append_once(name, "cp", lambda df: df)
+        for batch_id in restart:
+            write(batch, batch_id)
+    ingest.append_once(name, "other", lambda df: df)(batch, 0)
+    assert scan(spark, name).count() == 8
 
 
 def test_json_lines_and_documents(spark, table, tmp_path):
