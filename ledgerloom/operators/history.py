@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, DecimalType, IntegralType, TimestampNTZType, TimestampType
 
 from ledgerloom.functions.columns import ref
 
@@ -20,8 +21,20 @@ START, END = "__START_AT", "__END_AT"
 Segment = Callable[[Column], Column]
 
 
-def by_day(seq: Column) -> Column:
-    return F.to_date(seq)
+def segment_of(kind: DataType) -> Segment:
+    """Segments that bound both levels of ``following`` for any amount of rows.
+
+    Points are distinct per key. A minute holds at most 60 million microseconds,
+    and a century 53 million minutes; a year holds 366 dates; a block of a
+    million holds a million whole numbers.
+    """
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return lambda seq: F.date_trunc("minute", seq)
+    if isinstance(kind, DateType):
+        return lambda seq: F.year(seq)
+    if isinstance(kind, (IntegralType, DecimalType)):
+        return by_width(1_000_000)
+    raise ValueError(f"history: give a segment for sequences of type {kind.simpleString()}")
 
 
 def by_width(width: int) -> Segment:
@@ -36,7 +49,7 @@ def _usable(keys: Sequence[str], seq: str) -> Column:
     return ok
 
 
-def following(df: DataFrame, keys: Sequence[str], seq: str, segment: Segment = by_day) -> DataFrame:
+def following(df: DataFrame, keys: Sequence[str], seq: str, segment: Segment | None = None) -> DataFrame:
     """Distinct (keys, seq) with ``_next``, the next sequence value of the key.
 
     A plain ``lead`` over the key would sort a hot key in one task. Here each
@@ -44,6 +57,7 @@ def following(df: DataFrame, keys: Sequence[str], seq: str, segment: Segment = b
     and the last row of a segment takes the first value of the key's next
     segment from a table that holds one row per (key, segment).
     """
+    segment = segment or segment_of(df.schema[seq].dataType)
     points = df.select(*[ref(k) for k in keys], ref(seq)).distinct().withColumn("_seg", segment(ref(seq)))
     inside = W.partitionBy(*[ref(k) for k in keys], "_seg").orderBy(ref(seq))
     across = W.partitionBy(*[ref(k) for k in keys]).orderBy("_seg")
@@ -66,7 +80,7 @@ def scd2(
     seq: str,
     tie: Sequence[str] = (),
     exclude: Sequence[str] = (),
-    segment: Segment = by_day,
+    segment: Segment | None = None,
     collapse_unchanged: bool = False,
 ) -> DataFrame:
     """All versions of each key with ``__START_AT`` and ``__END_AT``.

@@ -37,7 +37,7 @@ class HistoryWriter:
         tie: Sequence[str] = (),
         exclude: Sequence[str] = (),
         buckets: int = 64,
-        segment: history.Segment = history.by_day,
+        segment: history.Segment | None = None,
         staging: str | None = None,
     ):
         self.table, self.keys, self.seq = table, list(keys), seq

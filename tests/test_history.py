@@ -70,6 +70,16 @@ def test_numeric_sequence(spark):
     assert rows(out, h.START, h.END) == [(105, 106), (106, 999), (5, 105), (999, None)]
 
 
+def test_segments_by_type(spark):
+    dates = spark.sql("SELECT 1 AS id, date_add(DATE '2023-12-30', i) AS d FROM (SELECT explode(sequence(0, 3)) AS i)")
+    got = rows(h.following(dates, ["id"], "d"), "d", "_next")
+    assert [b for _, b in got] == [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]
+    big = spark.createDataFrame([(1, s) for s in (-3, 5, 999_999, 1_000_000, 5_000_000)], "id int, seq bigint")
+    assert sorted(rows(h.following(big, ["id"], "seq"), "seq", "_next")) == [(-3, 5), (5, 999_999), (999_999, 1_000_000), (1_000_000, 5_000_000), (5_000_000, None)]
+    with pytest.raises(ValueError, match="segment"):
+        h.following(spark.createDataFrame([(1, "x")], "id int, s string"), ["id"], "s")
+
+
 def test_latest_per_key(spark):
     df = frame(spark, [("a", at(0), "x", "1"), ("a", at(2), "y", "1"), ("a", at(2), "z", "2"), ("b", at(1), None, "1")])
     assert rows(h.latest_per_key(df, ["id"], [F.col("ts"), F.col("src")]), "id", "v") == [("a", "z"), ("b", None)]
