@@ -275,20 +275,17 @@ def customer_360(
     )
     engaged = F.col("_app").isNotNull() | F.col("_telco").isNotNull()
     joined = joined.withColumns({c: F.when(engaged, v) for c, v in digital_scores().items()})
-    types = dict(joined.dtypes)
-
-    def filled(columns: dict[str, object]) -> list[Column]:
-        return [
-            ref(c) if v is None else F.coalesce(ref(c), F.lit(v).cast(types[c])).alias(c) for c, v in columns.items()
-        ]
-
     sides = {**ACCOUNT_COLUMNS, **LOAN_COLUMNS, **TRANSACTION_COLUMNS, **BUREAU_COLUMNS, **DIGITAL_COLUMNS}
+    types = dict(joined.dtypes)
+    filled = [
+        F.expr(f"`{c}`" if v is None else f"coalesce(`{c}`, CAST('{v}' AS {types[c]})) AS `{c}`") for c, v in sides.items()
+    ]
     wide = joined.select(
         *[ref(c) for c in identity],
         scalars.whole_years(F.col("date_of_birth").cast("date"), as_of).alias("age"),
         scalars.whole_years(F.col("relationship_start_date").cast("date"), as_of).alias("relationship_tenure_years"),
         col_or(customers, "is_shariah_preferred", False),
-        *filled(sides),
+        *filled,
         *[flag(ref(has)).cast("int").alias(owns) for owns, has in OWNED.items()],
         *([F.current_timestamp().alias("gold_computed_at")] if stamp else []),
     )

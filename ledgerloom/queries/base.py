@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -45,6 +45,11 @@ def flags_as_int(df: DataFrame) -> DataFrame:
     return df.withColumns({c: ref(c).cast("int") for c in flags}) if flags else df
 
 
+def utc_ntz(moment: Column) -> Column:
+    """An instant as UTC wall-clock time, whatever the session's time zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(ref(c), digits) for c in columns})
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import measures, ranking
 from ledgerloom.plans import documents, serving
-from ledgerloom.queries.base import Tables, query
+from ledgerloom.queries.base import ORACLES, Tables, query, utc_ntz
 from ledgerloom.queries.scoring import _recommended
-from ledgerloom.queries.base import ORACLES
 from ledgerloom.streaming.ratelimit import over_limit
 
 _TOP2 = ORACLES["q_top2"]
@@ -76,7 +75,7 @@ def q_usage_audit(t: Tables) -> DataFrame:
         F.struct(n.alias("prompt_tokens"), (n * 2).alias("completion_tokens"), (n * 3).alias("total_tokens")).alias("usage"),
         F.struct(F.lit("stop").alias("finish_reason")).alias("response_metadata"),
     )
-    return serving.usage_audit(log, "advice").withColumn("request_time", F.col("request_time").cast("timestamp_ntz"))
+    return serving.usage_audit(log, "advice").withColumn("request_time", utc_ntz(F.col("request_time")))
 
 
 @query("SELECT user_id, date_trunc('minute', ts) AS period_start, count(*) AS calls FROM events GROUP BY ALL HAVING count(*) > 1")
