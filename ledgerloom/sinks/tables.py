@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,15 +65,22 @@ def merge(df: DataFrame, table: str, keys: Sequence[str]) -> None:
     """Upsert into a parquet table: matched keys replaced, new keys added.
 
     Parquet tables cannot be read and overwritten in one plan, so the result is
-    first written to the shared folder and then copied over; an executor lost
-    half-way never leaves a half-merged source to read from.
+    first written to the shared folder and then copied over. A merge that died
+    while copying is completed from its finished staged copy by the next one.
+    One merge per table at a time.
     """
     if not keys:
         raise ValueError("merge: keys are required")
     spark = df.sparkSession
     create_like(df, table)
-    staged = f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}"
-    upsert(scan(spark, table), df, keys).write.parquet(staged)
+    staged = f"{shared_dir(spark)}/merge-{table.replace('.', '-').replace('`', '')}"
+    if exists(spark, f"{staged}/_SUCCESS"):
+        _copy_over(spark, staged, table)
+    upsert(scan(spark, table), df, keys).write.mode("overwrite").parquet(staged)
+    _copy_over(spark, staged, table)
+
+
+def _copy_over(spark: SparkSession, staged: str, table: str) -> None:
     spark.read.parquet(staged).write.mode("overwrite").insertInto(table)
     remove(spark, staged)
 

@@ -9,6 +9,7 @@ Spark's: the incremental form streams *file names* and reads each file once.
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -36,6 +37,11 @@ def _first_line(spark: SparkSession, path: str) -> str:
         reader.close()
 
 
+def _literal(path: str) -> str:
+    """The path with its glob characters escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def _stamped(df: DataFrame) -> DataFrame:
     return df.withColumns({"_source_file": F.col("_metadata.file_path"), "_ingest_timestamp": F.current_timestamp()})
 
@@ -53,7 +59,7 @@ def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType
         if not header:
             continue
         text = StructType([StructField(name, StringType()) for name in header])
-        raw = _stamped(spark.read.schema(text).option("header", True).option("multiLine", False).csv(members))
+        raw = _stamped(spark.read.schema(text).option("header", True).option("multiLine", False).csv([_literal(p) for p in members]))
         typed = rescue_columns(raw, schema, keep=FILE_COLUMNS)
         out = typed if out is None else out.unionByName(typed)
     return out if out is not None else empty(spark, schema)
@@ -83,7 +89,7 @@ def read_feed(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
     """All rows of the named files."""
     if feed.fmt == "csv":
         return read_csv_files(spark, paths, feed.schema)
-    lines = spark.read.text(paths, wholetext=feed.multi_line)
+    lines = spark.read.text([_literal(p) for p in paths], wholetext=feed.multi_line)
     return read_json_text(lines, feed.schema, feed.multi_line)
 
 

@@ -32,14 +32,16 @@ def rescue_columns(df: DataFrame, schema: StructType, keep: tuple[str, ...] = ()
     """For all-text frames (CSV). Columns in ``keep`` pass through untouched."""
     typed, doubtful = [], []
     for field in schema.fields:
-        text = _blank_as_null(ref(field.name)) if field.name in df.columns else F.lit(None).cast("string")
+        text = ref(field.name) if field.name in df.columns else F.lit(None).cast("string")
+        if not isinstance(field.dataType, StringType):
+            text = _blank_as_null(text)
         value, bad = _cast(text, field.dataType)
         typed.append(value.alias(field.name))
         if field.name in df.columns and not isinstance(field.dataType, StringType):
             doubtful.append(F.when(bad, text).alias(field.name))
     for name in df.columns:
         if name not in keep and name not in schema.fieldNames():
-            doubtful.append(_blank_as_null(ref(name)).alias(name))
+            doubtful.append(ref(name).alias(name))
     rescued = F.lit(None).cast("string")
     if doubtful:
         # NULL fields are left out of the JSON text.

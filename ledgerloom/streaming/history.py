@@ -86,4 +86,7 @@ class HistoryWriter:
 
 
 def scd2_stream(stream: DataFrame, writer: HistoryWriter, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Staged copies live and die with the checkpoint, so that batch numbers of
+    another run are never mistaken for this one's."""
+    writer.staging = writer.staging or f"{checkpoint}/staged"
     return start(stream, checkpoint, writer.write, trigger)

@@ -178,6 +178,12 @@ def test_documents_and_inference(spark, tmp_path):
     assert dict(files.read_csv_inferred(spark, path).dtypes) == {"a": "int", "b": "string"}
 
 
+def test_odd_file_names_and_blank_text(spark, tmp_path):
+    paths = [put(tmp_path, n, f"id,amount\n' {i} ',{'  ' if i else '1.5'}\n") for i, n in enumerate(["a[1].csv", "b {x}*.csv"])]
+    df = files.read_csv_files(spark, paths, FEED.schema)
+    assert rows(df, "id", "amount", "_rescued_data") == [("' 0 '", 1.5, None), ("' 1 '", None, None)]
+
+
 def test_empty_csv_batch(spark, tmp_path):
     empty = put(tmp_path, "e.csv", "")
     assert files.read_csv_files(spark, [empty], StructType.fromDDL("a int")).count() == 0

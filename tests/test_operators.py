@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars
 from ledgerloom.functions.encoding import label_of, one_hot, top_two, uniform
 from ledgerloom.functions.replies import reply_text
-from ledgerloom.operators import choose, drift, joins, measures, profile, ranking
+from ledgerloom.operators import choose, drift, joins, measures, percentiles, profile, ranking, sizes
 from ledgerloom.operators.percentiles import exact_percentiles
 from ledgerloom.operators.prepare import prepare
 
@@ -108,6 +108,13 @@ def test_percentiles_match_numpy(spark, small_group):
     assert everything == np.quantile([v for _, v in data if v is not None], 0.5)
 
 
+def test_percentiles_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("v"))
+    small = rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}, small_group=0))
+    monkeypatch.setattr(percentiles, "settle", lambda summary: sizes.settle(summary, 0))
+    assert rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}, small_group=0)) == small
+
+
 def test_rollup_through_equals_direct(spark):
     fact = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"), (F.col("id") / 7).cast("decimal(12,2)").alias("x")

@@ -39,6 +39,23 @@ def test_merge(spark, table):
         tables.merge(spark.createDataFrame([(2, "x"), (2, "y")], "id int, v string"), name, ["id"])
 
 
+def test_merge_is_completed_after_a_crash(spark, table, monkeypatch):
+    name = table()
+    tables.merge(spark.createDataFrame([(1, "a")], "id int, v string"), name, ["id"])
+
+    def lost(*_):
+        spark.sql(f"TRUNCATE TABLE {name}")
+        raise RuntimeError("lost half-way")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_copy_over", lost)
+        with pytest.raises(RuntimeError):
+            tables.merge(spark.createDataFrame([(2, "b")], "id int, v string"), name, ["id"])
+    assert scan(spark, name).count() == 0
+    tables.merge(spark.createDataFrame([(3, "c")], "id int, v string"), name, ["id"])
+    assert rows(scan(spark, name)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_feature_table_needs_a_key(spark, table):
     name = table()
     tables.save_features(spark.createDataFrame([(1, 0.5)], "id int, f double"), name, ["id"], "it's a table")
