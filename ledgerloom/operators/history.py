@@ -28,8 +28,11 @@ def segment_of(kind: DataType) -> Segment:
     and a century 53 million minutes; a year holds 366 dates; a block of a
     million holds a million whole numbers.
     """
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return lambda seq: F.date_trunc("minute", seq)
+    if isinstance(kind, TimestampType):
+        return lambda seq: F.floor(F.unix_seconds(seq) / F.lit(60))
+    if isinstance(kind, TimestampNTZType):
+        # Wall-clock minutes, without a detour over the session's time zone.
+        return lambda seq: F.unix_date(F.to_date(seq)).cast("long") * 1440 + F.hour(seq) * 60 + F.minute(seq)
     if isinstance(kind, DateType):
         return lambda seq: F.year(seq)
     if isinstance(kind, (IntegralType, DecimalType)):

@@ -80,6 +80,18 @@ def test_segments_by_type(spark):
         h.following(spark.createDataFrame([(1, "x")], "id int, s string"), ["id"], "s")
 
 
+def test_wall_clock_sequence_in_a_zone_with_summer_time(spark):
+    """02:30 does not exist on that night in Berlin; the order must not care."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        times = [dt.datetime(2024, 3, 31, h, m) for h, m in ((1, 59), (2, 30), (3, 15), (3, 45))]
+        df = spark.createDataFrame([(1, str(x)) for x in times], "id int, s string").select("id", F.col("s").cast("timestamp_ntz").alias("t"))
+        assert rows(h.following(df, ["id"], "t"), "t", "_next") == list(zip(times, times[1:] + [None]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_latest_per_key(spark):
     df = frame(spark, [("a", at(0), "x", "1"), ("a", at(2), "y", "1"), ("a", at(2), "z", "2"), ("b", at(1), None, "1")])
     assert rows(h.latest_per_key(df, ["id"], [F.col("ts"), F.col("src")]), "id", "v") == [("a", "z"), ("b", None)]
