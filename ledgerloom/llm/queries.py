@@ -1,6 +1,6 @@
 """The operators' queries and SQL twins; importing the modules registers them."""
 
-from ledgerloom.llm import bpe, chat, mixing, neighbours, quality, sharding, simhash  # noqa: F401
+from ledgerloom.llm import bpe, chat, language, mixing, neighbours, quality, sharding, simhash  # noqa: F401
 from ledgerloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
