@@ -57,72 +57,109 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     )
 
 
-def mix(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: Sequence[float] = (1.0,),
-    share: float = 1.0,
-    epochs: float = 1.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """One row per row of ``df``: key, source, size, source_size, target, copies, taken.
-
-    ``weights`` are dealt to the sources in code-point order, repeating. Runs
-    one job: sizes are counted once into a staged table of narrow rows.
-    """
+def _marked(df: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
+    """``df`` with what placing a row needs, in columns named ``_ll_``."""
     spot = unit_hash(ref(key), seed)
-    tail = F.lit(16**_DIGITS).cast("long")
-    base = staged(
-        df.select(
-            ref(key).alias("doc_id"),
-            ref(source).alias("source"),
-            word_count(ref(text)).alias("size"),
-            spot.alias("_spot"),
-            F.floor(spot / tail).cast("int").alias("_slice"),
+    return df.withColumns(
+        {
+            "_ll_size": word_count(ref(text)),
+            "_ll_spot": spot,
+            "_ll_slice": F.floor(spot / F.lit(16**_DIGITS).cast("long")).cast("int"),
             # one key that also covers NULL, which sorts after every name
-            F.when(ref(source).isNull(), "1").otherwise(F.concat(F.lit("0"), ref(source))).alias("_key"),
-        )
+            "_ll_key": F.when(ref(source).isNull(), "1").otherwise(F.concat(F.lit("0"), ref(source))),
+        }
     )
-    slices = base.groupBy("_key", "_slice").agg(F.sum("size").alias("_words"))
+
+
+def _plan(base: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
+    """One row per source: size, target, whole repetitions, words still to draw, the slice where drawing ends and the words before it."""
+    slices = staged(base.groupBy("_ll_key", "_ll_slice").agg(F.sum("_ll_size").alias("_words")))
     named = (
-        slices.groupBy("_key")
+        slices.groupBy("_ll_key")
         .agg(F.sum("_words").alias("source_size"))
-        .withColumn("_rank", F.row_number().over(W.orderBy("_key")))
+        .withColumn("_rank", F.row_number().over(W.orderBy("_ll_key")))
     )
     dealt = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = (
-        water_fill(named.withColumn("weight", dealt), share, epochs)
+        water_fill(named.withColumn("weight", dealt).withColumnRenamed("_ll_key", "_key"), share, epochs)
         .withColumn("_whole", F.floor(ratio))
         .withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .select("_key", "source_size", "target", "_whole", "_part")
+        .select(F.col("_key").alias("_ll_key"), "source_size", "target", "_whole", "_part")
     )
-    along = W.partitionBy("_key").orderBy("_slice")
+    along = W.partitionBy("_ll_key").orderBy("_ll_slice")
     cut = (
-        slices.join(plan.select("_key", "_part"), "_key")
+        slices.join(plan.select("_ll_key", "_part"), "_ll_key")
         .withColumn("_end", F.sum("_words").over(along))
         .where(F.col("_end") > F.col("_part"))
-        .groupBy("_key")
-        .agg(F.min(F.struct("_slice", (F.col("_end") - F.col("_words")).alias("_before"))).alias("_cut"))
-        .select("_key", "_cut.*")
-        .withColumnRenamed("_slice", "_cut")
+        .groupBy("_ll_key")
+        .agg(F.min(F.struct(F.col("_ll_slice").alias("_cut"), (F.col("_end") - F.col("_words")).alias("_before"))).alias("_at"))
+        .select("_ll_key", "_at.*")
     )
-    placed = base.join(plan.join(cut, "_key", "left"), "_key").withColumn("_cut", F.coalesce("_cut", F.lit(SLICES)))
-    split = placed.where(F.col("_slice") == F.col("_cut"))
-    upto = W.partitionBy("_key").orderBy("_spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    middle = 2 * (F.col("_before") + F.sum("size").over(upto)) - F.col("size")
-    drawn = split.withColumn("_extra", (middle <= 2 * F.col("_part")).cast("long"))
-    others = placed.where(F.col("_slice") != F.col("_cut")).withColumn("_extra", (F.col("_slice") < F.col("_cut")).cast("long"))
-    copies = F.when(F.col("source_size") > 0, F.col("_whole") + F.col("_extra")).otherwise(F.lit(0)).cast("long")
-    return (
-        others.unionByName(drawn)
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # Staged: its size on disk is known when rows meet it, so a small one is broadcast and a large one is not.
+    return staged(plan.join(cut, "_ll_key", "left").withColumn("_cut", F.coalesce("_cut", F.lit(SLICES))))
+
+
+def _drawn(marked: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """Each row with its source's plan (struct ``_ll_plan``) and ``_ll_copies``."""
+    plans = plan.select(F.col("_ll_key").alias("_ll_name"), F.struct(*[c for c in plan.columns if c != "_ll_key"]).alias("_ll_plan"))
+    placed = marked.join(plans, F.col("_ll_key") == F.col("_ll_name")).drop("_ll_name")
+    cut, size = F.col("_ll_plan._cut"), F.col("_ll_size")
+    upto = W.partitionBy("_ll_key").orderBy("_ll_spot", ref(key), "_ll_size").rowsBetween(W.unboundedPreceding, 0)
+    middle = 2 * (F.col("_ll_plan._before") + F.sum(size).over(upto)) - size
+    split = placed.where(F.col("_ll_slice") == cut).withColumn("_ll_extra", (middle <= 2 * F.col("_ll_plan._part")).cast("long"))
+    others = placed.where(F.col("_ll_slice") != cut).withColumn("_ll_extra", (F.col("_ll_slice") < cut).cast("long"))
+    copies = F.when(F.col("_ll_plan.source_size") > 0, F.col("_ll_plan._whole") + F.col("_ll_extra")).otherwise(F.lit(0))
+    return others.unionByName(split).withColumn("_ll_copies", copies.cast("long"))
+
+
+def mix(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = (1.0,),
+    share: float = 1.0,
+    epochs: float = 1.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """One row per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
+
+    ``weights`` are dealt to the sources in code-point order, repeating. Runs
+    jobs: sizes are counted once into a staged table of narrow rows.
+    """
+    marked = _marked(df.select(ref(key).alias("doc_id"), ref(source).alias("source"), ref(text).alias("text")), "doc_id", "text", "source", seed)
+    base = staged(marked.drop("text"))
+    out = _drawn(base, _plan(base, weights, share, epochs), "doc_id")
+    return out.select(
+        "doc_id",
+        "source",
+        F.col("_ll_size").alias("size"),
+        "_ll_plan.source_size",
+        "_ll_plan.target",
+        F.col("_ll_copies").alias("copies"),
+        (F.col("_ll_copies") * F.col("_ll_size")).alias("taken"),
     )
 
 
+def repeat(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = (1.0,),
+    share: float = 1.0,
+    epochs: float = 1.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``df``, each as often as ``mix`` takes it. Runs jobs."""
+    marked = _marked(df, key, text, source, seed)
+    base = staged(marked.select("_ll_key", "_ll_slice", "_ll_size"))
+    out = _drawn(marked, _plan(base, weights, share, epochs), key)
+    times = F.explode(F.array_repeat(F.lit(0), F.col("_ll_copies").cast("int")))
+    return out.where("_ll_copies > 0").select(*[ref(c) for c in df.columns], times.alias("_ll_time")).drop("_ll_time")
+
+
 @query(
     f"""WITH b AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix'), 1, 15) AS BIGINT) AS spot FROM documents),
