@@ -39,7 +39,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.llm.common import query, table
 
 #: Characters after which a block of documents is closed.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 
 _ID = pa.int32()
 
@@ -69,6 +69,32 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _pack_words(words: list[bytes]) -> dict[str, bytes]:
+    return {"lengths": _pack(np.fromiter(map(len, words), np.int64, len(words))), "letters": zlib.compress(b"".join(words))}
+
+
+def _unpack_words(lengths: bytes, letters: bytes) -> list[bytes]:
+    ends, data = np.cumsum(_unpack(lengths)).tolist(), zlib.decompress(letters)
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _homes(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block's words in order of bucket, and where each bucket begins and ends."""
+    home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(buckets + 1))
+
+
 class Block:
     """Documents of one block as numbers of distinct pre-tokens.
 
@@ -84,7 +110,6 @@ class Block:
         self.words: dict[str, int] = {}
         self._pieces: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._codes: list[list[int]] = []
-        self.keys: list[int] = []
         self._docs: list[tuple[bool, list[int]]] = []
         self.chars = 0
 
@@ -121,23 +146,30 @@ class Block:
             yield found.astype(np.int32) if direct else flat[_gather(starts[found], lengths[found])]
 
 
+_WORDS = "lengths binary, letters binary"
+
+
 def _number_blocks(pattern: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), count()
         block, keys = Block(pattern), []
 
         def close() -> pa.RecordBatch:
-            codes = [zlib.compress(c.tobytes(), 1) for c in block.numbers()]
-            n = len(codes)
-            key = pa.concat_arrays([pa.nulls(1, keys[0].type), *keys])
-            # the block's distinct words, then its documents
-            columns = [
-                pa.array([f"{task}-{next(number)}"] * (n + 1)),
-                key,
-                pa.array([None, *codes], pa.binary()),
-                pa.array([list(block.words), *[None] * n], pa.list_(pa.string())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "key", "codes", "words"])
+            docs, key = list(block.numbers()), pa.concat_arrays(keys)
+            codes = np.concatenate(docs)
+            # numbered by falling frequency, so that most numbers are short
+            order = np.argsort(-np.bincount(codes, minlength=len(block.words)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words = list(block.words)
+            row = {
+                "block": f"{task}-{next(number)}",
+                "sizes": _pack(np.fromiter(map(len, docs), np.int64, len(docs))),
+                "codes": _pack(rank[codes]),
+                **_pack_words([words[i].encode() for i in order]),
+            }
+            arrays = [pa.array([v]) for v in row.values()]
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays([0, len(key)], key)], [*row, "keys"])
 
         for batch in batches:
             key, start = batch.column(0), 0
@@ -156,71 +188,67 @@ def _number_blocks(pattern: str, block_chars: int):
 
 
 def _deal_words(buckets: int):
-    """The distinct words of each block, by bucket, with their places in the block."""
+    """The distinct words of each block, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words in zip(batch.column("block"), batch.column("words")):
-                if not words.is_valid:
-                    continue
-                words = words.values
-                home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), dtype=np.int32, count=len(words))
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    places = order[cuts[b] : cuts[b + 1]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([b], _ID),
-                            pa.array([block.as_py()]),
-                            pa.array([places], pa.list_(_ID)),
-                            pa.ListArray.from_arrays([0, len(places)], words.take(pa.array(places))),
-                        ],
-                        ["bucket", "block", "places", "words"],
-                    )
+            for block, lengths, letters in zip(*[batch.column(c).to_pylist() for c in ("block", "lengths", "letters")]):
+                words = _unpack_words(lengths, letters)
+                order, cuts = _homes(words, buckets)
+                rows = [
+                    {"bucket": int(b), "block": block, **_pack_words([words[i] for i in order[cuts[b] : cuts[b + 1]]])}
+                    for b in np.flatnonzero(np.diff(cuts))
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows)
 
     return run
 
 
 def _encode_bucket(path: str):
+    """Ids of all words of one bucket; each distinct word is encoded once."""
+
     def run(rows: pa.Table) -> pa.Table:
         encode = word_encoder(path).encode_ordinary
-        words = rows.column("words").combine_chunks()
-        index = words.flatten().dictionary_encode()
-        coded = [encode(w) for w in index.dictionary.to_pylist()]  # each distinct word once
-        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), dtype=np.int32, count=int(lengths.sum()))
-        starts, which = np.cumsum(lengths) - lengths, index.indices.to_numpy()
-        counts = lengths[which]
-        ids = flat[_gather(starts[which], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        cuts = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-        return pa.table(
-            {
-                "block": rows.column("block"),
-                "places": rows.column("places"),
-                "counts": pa.ListArray.from_arrays(pa.array(cuts, _ID), pa.array(counts, _ID)),
-                "ids": pa.ListArray.from_arrays(pa.array(ends[cuts], _ID), pa.array(ids, _ID)),
-            }
-        )
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for row in rows.to_pylist():
+            ids = []
+            for word in _unpack_words(row["lengths"], row["letters"]):
+                if word not in known:
+                    known[word] = encode(word.decode())
+                ids.append(known[word])
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for one in ids for i in one), np.int64, int(counts.sum()))
+            out.append({"block": row["block"], "bucket": row["bucket"], "counts": _pack(counts), "ids": _pack(flat)})
+        return pa.Table.from_pylist(out)
 
     return run
 
 
-def _reassemble(replies: pa.Table, block: pa.Table) -> pa.Table:
+def _reassemble(buckets: int):
     """Documents of one block as ids, from the ids of its words."""
-    flat = {c: replies.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("places", "counts", "ids")}
-    lengths, starts = np.zeros(len(flat["places"]), np.int64), np.zeros(len(flat["places"]), np.int64)
-    lengths[flat["places"]] = flat["counts"]
-    starts[flat["places"]] = np.cumsum(flat["counts"]) - flat["counts"]
-    ids = flat["ids"].astype(np.int32)
-    docs = block.filter(pa.compute.is_valid(block.column("codes")))
-    out, ends = [np.zeros(0, np.int32)], [0]
-    for codes in docs.column("codes"):
-        words = np.frombuffer(zlib.decompress(codes.as_py()), dtype=np.int32)
-        out.append(ids[_gather(starts[words], lengths[words])])
-        ends.append(ends[-1] + len(out[-1]))
-    return pa.table({"key": docs.column("key"), "ids": pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(np.concatenate(out), _ID))})
+
+    def run(replies: pa.Table, block: pa.Table) -> pa.Table:
+        (row,) = block.select(["sizes", "codes", "lengths", "letters"]).to_pylist()
+        order, _ = _homes(_unpack_words(row["lengths"], row["letters"]), buckets)
+        replies = replies.sort_by("bucket")
+        nothing = [np.zeros(0, np.int64)]
+        counts = np.concatenate(nothing + [_unpack(c) for c in replies.column("counts").to_pylist()])
+        ids = np.concatenate(nothing + [_unpack(c) for c in replies.column("ids").to_pylist()]).astype(np.int32)
+        if len(counts) != len(order):
+            raise ValueError("a block and its words do not belong together")
+        lengths, starts = np.empty_like(counts), np.empty_like(counts)
+        lengths[order] = counts
+        starts[order] = np.cumsum(counts) - counts
+        codes, sizes = _unpack(row["codes"]), _unpack(row["sizes"])
+        flat = ids[_gather(starts[codes], lengths[codes])]
+        words_before = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])[words_before]
+        keys = block.column("keys").combine_chunks().flatten()
+        return pa.table({"key": keys, "ids": pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(flat, _ID))})
+
+    return run
 
 
 def encode(
@@ -232,13 +260,11 @@ def encode(
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both uses of the numbered blocks are this one exchange, which Spark then runs once.
     blocks = rows.mapInArrow(
-        _number_blocks(pattern, block_chars), f"block string, key {kind}, codes binary, words array<string>"
+        _number_blocks(pattern, block_chars), f"block string, sizes binary, codes binary, {_WORDS}, keys array<{kind}>"
     ).repartition("block")
-    dealt = blocks.mapInArrow(_deal_words(buckets), "bucket int, block string, places array<int>, words array<string>")
-    replies = dealt.groupBy("bucket").applyInArrow(
-        _encode_bucket(path), "block string, places array<int>, counts array<int>, ids array<int>"
-    )
-    whole = replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_reassemble, f"key {kind}, ids array<int>")
+    dealt = blocks.mapInArrow(_deal_words(buckets), f"bucket long, block string, {_WORDS}")
+    replies = dealt.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket long, counts binary, ids binary")
+    whole = replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_reassemble(buckets), f"key {kind}, ids array<int>")
     return whole.select(F.col("key").alias(key), "ids")
 
 
