@@ -5,7 +5,7 @@ that still holds them, found in a balanced search tree of remaining capacities;
 a group that fits nowhere opens a bin.
 
 What is packed one by one must not grow with the data. Groups above 1/``GRAIN``
-of a region's size are items of their own (at most ``GRAIN`` of them); all others
+of a region's share of all bytes are items of their own (at most ``GRAIN`` of them); all others
 are pooled by hash into ``PACKETS`` packets of whole groups. A region therefore
 has at most ``GRAIN + PACKETS`` items, whatever it holds. ``pack_even`` has one
 region and a given number of bins; ``pack_capacity`` deals groups to as many
@@ -127,13 +127,17 @@ def _rows(df: DataFrame, key: str, text: str, extra: int) -> DataFrame:
     )
 
 
-def _items(rows: DataFrame, region) -> DataFrame:
+def _total(rows: DataFrame) -> int:
+    return rows.agg(F.sum("size")).first()[0] or 0
+
+
+def _items(rows: DataFrame, total: int, regions: int = 1) -> DataFrame:
     """One row per group with its region and item: its own hash, or a packet number."""
+    region = F.pmod(F.xxhash64("_group"), F.lit(regions))
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes")).withColumn("_region", region)
-    totals = groups.groupBy("_region").agg(F.sum("_bytes").alias("_total"))
     packet = F.concat(F.lit("p"), F.pmod(F.xxhash64("_group", F.lit(1)), F.lit(PACKETS)).cast("string"))
-    big = F.col("_bytes") * F.lit(GRAIN) >= F.col("_total")
-    return groups.join(totals, "_region").select("_group", "_bytes", "_region", F.when(big, F.hex("_group")).otherwise(packet).alias("_item"))
+    big = F.col("_bytes") * F.lit(GRAIN * regions) >= F.lit(total)
+    return groups.select("_group", "_bytes", "_region", F.when(big, F.hex("_group")).otherwise(packet).alias("_item"))
 
 
 def with_slots(rows: DataFrame, shard: str = "shard", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -159,7 +163,7 @@ def pack_even(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text
     Runs jobs: rows are staged once; at most GRAIN + PACKETS item sizes come to the driver.
     """
     rows = _rows(df, key, text, extra)
-    items = staged(_items(rows, F.lit(0)))
+    items = staged(_items(rows, _total(rows)))
     sizes = items.groupBy("_item").agg(F.sum("_bytes").alias("_bytes")).orderBy(F.desc("_bytes"), "_item").toPandas()
     sizes["shard"] = even_bins([int(b) for b in sizes["_bytes"]], shards)
     # at most GRAIN + PACKETS rows, however large the input
@@ -170,10 +174,10 @@ def pack_even(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text
 def pack_capacity(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", extra: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard (region.bin): as few bins of ``capacity`` as best fit finds in each region."""
     rows = _rows(df, key, text, extra)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total = _total(rows)
     regions = max(1, -(-total // (capacity * REGION_BINS)))
-    items = staged(_items(rows, F.pmod(F.xxhash64("_group"), F.lit(regions))))
-    # a packet must not outgrow a bin: it holds about 1 / PACKETS of REGION_BINS capacities
+    # A packet does not outgrow a bin: it holds about 1 / PACKETS of REGION_BINS capacities.
+    items = staged(_items(rows, total, regions))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_bytes", "_item"], ascending=[False, True])
