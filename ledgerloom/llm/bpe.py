@@ -39,7 +39,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.llm.common import query, table
 
 #: Characters after which a block of documents is closed.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 
 _ID = pa.int32()
 
@@ -66,17 +66,19 @@ def token_bytes(path: str) -> pa.Array:
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each piece, one piece after the other."""
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+    positions = np.repeat((starts - before).astype(np.int32), lengths)
+    positions += np.arange(len(positions), dtype=np.int32)
+    return positions
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers below 2**32, compressed byte plane by byte plane."""
+    """Numbers below 2**31, compressed byte plane by byte plane."""
     return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _pack_words(words: list[bytes]) -> dict[str, bytes]:
@@ -233,9 +235,9 @@ def _reassemble(buckets: int):
         (row,) = block.select(["sizes", "codes", "lengths", "letters"]).to_pylist()
         order, _ = _homes(_unpack_words(row["lengths"], row["letters"]), buckets)
         replies = replies.sort_by("bucket")
-        nothing = [np.zeros(0, np.int64)]
+        nothing = [np.zeros(0, np.int32)]
         counts = np.concatenate(nothing + [_unpack(c) for c in replies.column("counts").to_pylist()])
-        ids = np.concatenate(nothing + [_unpack(c) for c in replies.column("ids").to_pylist()]).astype(np.int32)
+        ids = np.concatenate(nothing + [_unpack(c) for c in replies.column("ids").to_pylist()])
         if len(counts) != len(order):
             raise ValueError("a block and its words do not belong together")
         lengths, starts = np.empty_like(counts), np.empty_like(counts)
