@@ -132,7 +132,8 @@ def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", l
     labelled = df.where(learn & ref(label).isNotNull() & ref(key).isNotNull() & ref(text).isNotNull()).select(
         ref(label).cast("string").alias("label"), F.xxhash64(ref(key), F.lit(7)).alias("spot"), ref(text).alias("text")
     )
-    counts = labelled.groupBy("label").count()
+    # Staged: a row per language, whose size Spark then knows, so that the texts need not move to meet it.
+    counts = staged(labelled.groupBy("label").count())
     # Twice the sample by hash, so that ranking sees few rows of a language however many there are.
     likely = F.pmod("spot", F.lit(1 << 20)) * F.col("count") < F.lit(2 * PER_LANGUAGE << 20)
     few = labelled.join(counts, "label").where(likely | (F.col("count") <= 2 * PER_LANGUAGE))
