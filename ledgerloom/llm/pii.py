@@ -8,7 +8,8 @@ them by format and context; what reaches the kind's calibrated threshold and
 overlaps nothing better is added. Base spans always stay.
 
 The trees learn by distant supervision: candidates inside a base span of their
-kind, of nearly its length, are positive, all others negative; signs that make a
+kind, of nearly its length, are positive, parts of a run that a base rule took and dropped
+are left out, all others are negative; signs that make a
 base rule fire (``+``, ``@``) are not features, so spans that look alike without
 them can be found. Candidates of ``SAMPLE_DOCS`` documents at most, chosen by a
 hash of the key, are learned from, ``PER_KIND`` of each kind, every kind in its own
@@ -69,7 +70,8 @@ def passes(kind: str, text: str) -> bool:
     """The check of a kind on a span that has its form."""
     digits = digits_of(text)
     if kind == "ip":
-        return all(len(p) < 20 and int(p) <= 255 for p in text.split("."))
+        parts = [p.lstrip("0") or "0" for p in text.split(".")]
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     return kind == "email" or 9 <= len(digits) <= 15
@@ -94,8 +96,13 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+#: Any run of digits and the marks between them: a candidate of every numeric kind, so each kind also sees the others'.
+_NUMERIC = re.compile(r"(?<![0-9])\(?[0-9][0-9 ().-]{5,24}(?<=[0-9])(?![0-9])")
+
 #: Generators of candidates: kind, what the text must hold, form.
 GENERATORS = [
+    *[(kind, ("",), _NUMERIC) for kind in ("ip", "card", "phone")],
+    ("email", ("@",), re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+")),
     ("email", ("@",), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?@ ?[A-Za-z0-9-]{1,63}+(?: ?\. ?[A-Za-z0-9-]{1,63}+)+")),
     ("email", ("(at)", "[at]", " dot "), re.compile(
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:[(\[]at[)\]]|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}+"
@@ -205,8 +212,8 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> Boosted:
     design, coef = np.stack([m, np.ones(len(m))], axis=1), np.array([1.0, 0.0])
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        coef = coef - np.linalg.solve(hess, design.T @ (p - target) + 1e-3 * (coef - [1.0, 0.0]))
+        hess = design.T @ (design * (p * (1 - p))[:, None]) + 0.05 * np.eye(2)
+        coef = coef - np.linalg.solve(hess, design.T @ (p - target) + 0.05 * (coef - [1.0, 0.0]))
     if coef[0] > 0:  # else the held-out examples say nothing about the order: margins stay as they are
         model.slope, model.shift = float(coef[0]), float(coef[1])
     scores = np.array([model.probability(r) for r in x])
@@ -215,8 +222,17 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def _positive(span: Span, base: list[Span]) -> float:
+def _swallowed(text: str) -> list[tuple[int, int]]:
+    """Runs that a base pattern took and its check dropped."""
+    runs = (("ip", _IP), ("card", _CARD), ("phone", _PHONE))
+    return [m.span() for kind, pattern in runs for m in pattern.finditer(text) if not passes(kind, m[0])]
+
+
+def _positive(span: Span, base: list[Span], swallowed: list[tuple[int, int]]) -> float | None:
+    """1 or 0; None for a part of a swallowed run, of which the base rules say nothing."""
     start, end, kind = span
+    if any(a <= start and end <= b and b - a > end - start for a, b in swallowed):
+        return None
     return float(any(k == kind and a <= start <= a + 4 and end <= b and end - start >= 0.7 * (b - a) for a, b, k in base))
 
 
@@ -232,8 +248,9 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, B
             out = []
             for spot, text in zip(batch["spot"], batch["text"]):
                 spans = candidates(text)
-                base = base_spans(text) if spans else []
-                out += [(s[2], spot, s[0], _positive(s, base), features(text, s)) for s in spans]
+                base, runs = (base_spans(text), _swallowed(text)) if spans else ([], [])
+                known = [(s, y) for s in spans if (y := _positive(s, base, runs)) is not None]
+                out += [(s[2], spot, s[0], y, features(text, s)) for s, y in known]
             if out:
                 yield pd.DataFrame(out, columns=["kind", "spot", "start", "y", "x"]).astype({"kind": object})
 
