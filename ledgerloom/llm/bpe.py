@@ -40,6 +40,8 @@ from ledgerloom.llm.common import query, table
 
 #: Characters after which a block of documents is closed.
 BLOCK_CHARS = 6_000_000
+#: Documents whose tokens are looked up at once.
+DECODE_ROWS = 256
 
 _ID = pa.int32()
 
@@ -276,7 +278,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(path)
-        for batch in batches:
+        for batch in (whole.slice(i, DECODE_ROWS) for whole in batches for i in range(0, len(whole), DECODE_ROWS)):
             lists = batch.column(1)
             found = tokens.take(lists.flatten())
             if found.null_count:
