@@ -15,11 +15,12 @@ def ordinal(value: Column, codes: Mapping[str, int], default: int = 0) -> Column
 
 
 def label_of(index: Column, labels: Sequence[str]) -> Column:
-    """Decode a class index; text that is already a label passes through."""
+    """Decode a class index; text that is already a label passes through, a number that is no index gives NULL."""
     names = F.array(*[F.lit(x) for x in labels])
     text = index.cast("string")
-    position = text.try_cast("double").cast("int")
-    return F.when(position.isNull(), text).otherwise(F.try_element_at(names, position + F.lit(1)))
+    number = text.try_cast("double")
+    inside = (number >= 0) & (number < len(labels))  # also keeps NaN and infinity from the cast
+    return F.when(number.isNull(), text).when(inside, F.get(names, F.when(inside, number).cast("int")))
 
 
 def one_hot(index: Column, size: int) -> Column:

@@ -12,8 +12,13 @@ GREETING = r"Dear |Subject:|Hi |Greetings"
 CLOSING = r"Regards|Sincerely|Warm regards|Best"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _non_blank(text: Column) -> Column:
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.when(F.length(trimmed) > 0, trimmed)
 
 
@@ -32,7 +37,7 @@ def reply_text(df: DataFrame, reply: str, name: str = "reply_text", keep_last: i
     own, so that nothing is parsed twice.
     """
     message = "$.choices[0].message."
-    trimmed = F.transform(F.split("_thought", "\n"), lambda x: F.trim(x))
+    trimmed = F.transform(F.split("_thought", "\n"), lambda x: stripped(x))
     steps = [
         ("_content", _non_blank(F.get_json_object(ref(reply), message + "content"))),
         ("_thought", F.when(F.col("_content").isNull(), _non_blank(F.get_json_object(ref(reply), message + "reasoning_content")))),

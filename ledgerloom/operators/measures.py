@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import flag
+from ledgerloom.functions.columns import SCALE, flag
 
 
 @dataclass(frozen=True)
@@ -33,18 +33,18 @@ def count_values(name: str, value: Column) -> Measure:
     return Measure(name, ((F.count(value), F.sum),), lambda n: F.coalesce(n, F.lit(0)).cast("long"))
 
 
-def total(name: str, value: Column, when: Column | None = None, scale: int = 2) -> Measure:
+def total(name: str, value: Column, when: Column | None = None, scale: int = SCALE) -> Measure:
     """Exact sum of the values that satisfy the condition, 0.0 when there are none."""
     picked = value if when is None else F.when(when, value)
     return Measure(
         name,
-        ((F.sum(picked.cast(f"decimal(20,{scale})")), F.sum),),
+        ((F.sum(picked.cast(f"decimal(38,{scale})")), F.sum),),
         lambda s: F.coalesce(s.cast("double"), F.lit(0.0)),
     )
 
 
-def mean(name: str, value: Column, scale: int = 2) -> Measure:
-    exact = value.cast(f"decimal(20,{scale})")
+def mean(name: str, value: Column, scale: int = SCALE) -> Measure:
+    exact = value.cast(f"decimal(38,{scale})")
     return Measure(
         name,
         ((F.sum(exact), F.sum), (F.count(exact), F.sum)),

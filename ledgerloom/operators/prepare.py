@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.functions.columns import ref
 
@@ -42,6 +43,12 @@ def _typed(df: DataFrame, name: str, value: object) -> Column:
     return F.lit(value).cast(df.schema[name].dataType)
 
 
+def _replacement(df: DataFrame, name: str, p: Params) -> Column:
+    """The parameter ``with``; without it an empty text, which other types can only show as NULL."""
+    missing = "" if isinstance(df.schema[name].dataType, StringType) else None
+    return _typed(df, name, p.get("with", missing))
+
+
 def formula(df: DataFrame, p: Params) -> tuple[str, Column]:
     return str(_need(p, "target")), F.expr(str(_need(p, "expression")))
 
@@ -70,12 +77,12 @@ def replace_value(df: DataFrame, p: Params) -> tuple[str, Column]:
             needle = "(?i)" + needle
         else:
             needle, text = needle.lower(), F.lower(text)
-    return name, F.when(matcher(text, F.lit(needle)), _typed(df, name, p.get("with"))).otherwise(value)
+    return name, F.when(matcher(text, F.lit(needle)), _replacement(df, name, p)).otherwise(value)
 
 
 def fill_null(df: DataFrame, p: Params) -> tuple[str, Column]:
     name, value = _input(df, p)
-    return name, F.coalesce(value, _typed(df, name, p.get("with")))
+    return name, F.coalesce(value, _replacement(df, name, p))
 
 
 def text_case(df: DataFrame, p: Params) -> tuple[str, Column]:

@@ -153,7 +153,8 @@ def require_rows(counts: DataFrame, minimum: dict[str, int]) -> None:
 
 def fault_breakdown(df: DataFrame, faults: dict[str, str]) -> DataFrame:
     """Rows and per cent that show each named fault (a SQL predicate)."""
-    rules = RuleSet(Rule(name, f"NOT ({predicate})") for name, predicate in faults.items())
+    # A predicate that is NULL shows no fault: a fault passes as a rule unless its predicate is true.
+    rules = RuleSet(Rule(name, f"NOT coalesce(({predicate}), false)") for name, predicate in faults.items())
     return rules.metrics(df).select(F.col("rule").alias("fault"), F.col("failed").alias("n_rows"), F.col("failed_pct").alias("pct"))
 
 

@@ -66,8 +66,9 @@ def resolve_version(versions: DataFrame, model: str, version: str, alias: str, o
 
 
 def _slot(keys: Sequence[str], seed: int) -> Column:
-    """Uniform pseudo-random bigint that depends on the key and the seed only."""
-    return F.xxhash64(*[ref(k) for k in keys], F.lit(seed))
+    """Uniform pseudo-random bigint of 60 bits that depends on the key and the seed only, the same in any SQL engine."""
+    text = F.concat_ws("|", *[F.coalesce(ref(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def traffic_split(df: DataFrame, keys: Sequence[str], first: str, second: str, first_pct: int = 70, seed: int = 0) -> DataFrame:
@@ -84,7 +85,7 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str, test_share:
     (one row per class) are computed here, in one job.
     """
     h = _slot(keys, seed)
-    rows = df.withColumn("_h", h).withColumn("_s", F.shiftrightunsigned(F.col("_h"), 52).cast("int"))
+    rows = df.withColumn("_h", h).withColumn("_s", F.shiftrightunsigned(F.col("_h"), 48).cast("int"))
     counts = rows.groupBy(ref(label).alias("_l"), "_s").agg(F.count(F.lit(1)).alias("_n"))
     # One array of slice counts per class: at most 4096 entries.
     per_class = counts.groupBy("_l").agg(

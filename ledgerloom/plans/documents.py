@@ -68,7 +68,7 @@ BROCHURE_FIELDS: dict[str, tuple[tuple[str, ...], str]] = {
 
 # What a reply to a customer must not contain.
 NATIONAL_ID = r"[0-9]{6}-[0-9]{2}-[0-9]{4}"
-ACCOUNT_NUMBER = r"[0-9]{10,16}"
+ACCOUNT_NUMBER = r"[0-9]{10,}"
 BANNED_PHRASES = ("you should invest", "guaranteed return", "I recommend you buy")
 
 _LITERAL = str.maketrans({c: "\\" + c for c in r"\.^$|?*+()[]{}-/"})
@@ -127,9 +127,8 @@ def classify(
 
 
 def extract_fields(text: Column, patterns: Mapping[str, str]) -> Column:
-    """Struct of the first group of each pattern; no match gives NULL."""
-    found = lambda p: F.regexp_extract(text, p, 1)
-    return F.struct(*[F.when(F.length(found(p)) > 0, F.trim(found(p))).alias(name) for name, p in patterns.items()])
+    """Struct of the first group of each pattern; no match and a blank one give NULL."""
+    return F.struct(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")).alias(name) for name, p in patterns.items()])
 
 
 def brochure_patterns() -> dict[str, str]:

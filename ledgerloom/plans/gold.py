@@ -195,9 +195,9 @@ def agg_telco(activity: DataFrame) -> DataFrame:
         activity.where(F.col("source") == "telco"),
         ["party_id"],
         [
-            m.mean("digital_maturity_score", F.col("digital_maturity_score"), 4),
-            m.mean("data_consumption_mb_monthly", F.col("data_consumption_mb_monthly"), 4),
-            m.mean("telco_arpu_myr", F.col("arpu_myr"), 4),
+            m.mean("digital_maturity_score", F.col("digital_maturity_score")),
+            m.mean("data_consumption_mb_monthly", F.col("data_consumption_mb_monthly")),
+            m.mean("telco_arpu_myr", F.col("arpu_myr")),
         ],
     )
 

@@ -257,8 +257,8 @@ FROM (
           FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
     WHERE event_type IN ('click', 'view', 'signup') GROUP BY 1) a
   FULL JOIN (
-    SELECT user_id AS party_id, {sql_mean('value', 4)} AS digital_maturity_score,
-      {sql_mean('(value * 1000.0::DOUBLE)', 4)} AS data_consumption_mb_monthly, {sql_mean('(value * 2.0::DOUBLE)', 4)} AS telco_arpu_myr
+    SELECT user_id AS party_id, {sql_mean('value')} AS digital_maturity_score,
+      {sql_mean('(value * 1000.0::DOUBLE)')} AS data_consumption_mb_monthly, {sql_mean('(value * 2.0::DOUBLE)')} AS telco_arpu_myr
     FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) s
   ON a.party_id = s.party_id)"""
 

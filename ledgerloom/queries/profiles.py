@@ -283,3 +283,18 @@ def q_top_runs(t: Tables) -> DataFrame:
     return ranking.top(runs, "metric", "run_id", 5)
 
 
+
+
+@query(
+    f"SELECT l_returnflag, {sql_round("sum(l_extendedprice * l_discount * l_tax)", 4)} AS tax_on_discount, "
+    f"{sql_round("avg(l_discount * l_tax * 0.01::DOUBLE)", 9, 14)} AS small_mean FROM lineitem GROUP BY 1"
+)
+def q_small_amounts(t: Tables) -> DataFrame:
+    """Sums and means of values far below a cent."""
+    price, discount, tax = (F.col(c).cast("double") for c in ("l_extendedprice", "l_discount", "l_tax"))
+    sums = measures.rollup(
+        t.lineitem,
+        ["l_returnflag"],
+        [measures.total("tax_on_discount", price * discount * tax), measures.mean("small_mean", discount * tax * 0.01)],
+    )
+    return rounded(rounded(sums, 4, "tax_on_discount"), 9, "small_mean")

@@ -137,12 +137,19 @@ def q_resolve_version(t: Tables) -> DataFrame:
     return ranking.resolve_version(t.part.withColumn("alias", alias), "p_brand", "p_partkey", "alias")
 
 
-@query()
+@query(
+    """WITH h AS (SELECT o_orderkey, o_orderpriority, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), 1, 15) AS BIGINT) AS h FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM h)
+SELECT o_orderkey, o_orderpriority, CASE WHEN n >= 2 AND r <= greatest(floor(n * 0.2::DOUBLE + 0.5), 1) THEN 'test' ELSE 'train' END AS split FROM r"""
+)
 def q_stratified_split(t: Tables) -> DataFrame:
     return ranking.stratified_split(t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderkey"], "o_orderpriority")
 
 
-@query()
+@query(
+    "SELECT conv_id, turn, CASE WHEN CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR) || '|0'), 1, 15) AS BIGINT) % 100 < 70 "
+    "THEN 'primary' ELSE 'secondary' END AS route FROM conversations"
+)
 def q_traffic_split(t: Tables) -> DataFrame:
     return ranking.traffic_split(t.conversations.select("conv_id", "turn"), ["conv_id"], "primary", "secondary")
 

@@ -46,7 +46,7 @@ def single_file(df: DataFrame, path: str, fmt: str = "csv", append: bool = False
     if fmt == "csv":
         text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
         df = df.withColumns({c: neutralize_formula(ref(c)) for c in text}) if text else df
-    writer = df.coalesce(1).write.mode("append" if append else "overwrite")
+    writer = df.repartition(1).write.mode("append" if append else "overwrite")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:

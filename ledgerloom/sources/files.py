@@ -21,18 +21,22 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerloom.schemas import Feed
 from ledgerloom.sources.rescue import RESCUED, json_fields, rescue_columns, rescue_map
 
+MALFORMED = "_malformed"
 FILE_COLUMNS = ("_source_file", "_ingest_timestamp")
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    """Header of one file, read through the Hadoop file system of its path."""
+    """Header of one file: its first line that isn't blank, read through the Hadoop file system of its path."""
     jvm = spark._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
     stream = location.getFileSystem(spark._jsc.hadoopConfiguration()).open(location)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
-        return (reader.readLine() or "").lstrip("﻿")
+        line = reader.readLine()
+        while line is not None and not line.strip(" \t\ufeff"):
+            line = reader.readLine()
+        return (line or "").lstrip("﻿")
     finally:
         reader.close()
 
@@ -46,8 +50,17 @@ def _stamped(df: DataFrame) -> DataFrame:
     return df.withColumns({"_source_file": F.col("_metadata.file_path"), "_ingest_timestamp": F.current_timestamp()})
 
 
-def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType) -> DataFrame:
-    """Rescued read of the named CSV files (one header look-up per file)."""
+def _spelled(header: tuple[str, ...], schema: StructType) -> tuple[str, ...]:
+    """Header names in the schema's spelling where they differ in letter case only."""
+    known = {n.lower(): n for n in schema.fieldNames()}
+    return tuple(known[h.lower()] if h.lower() in known and known[h.lower()] not in header else h for h in header)
+
+
+def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType, multi_line: bool = False) -> DataFrame:
+    """Rescued read of the named CSV files (one header look-up per file).
+
+    ``multi_line`` allows line breaks inside quotes; such files are not split.
+    """
     listed = list(paths)
     with ThreadPoolExecutor(16) as pool:
         headers = list(pool.map(lambda path: _first_line(spark, path), listed))
@@ -56,10 +69,13 @@ def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType
         groups[tuple(next(csv.reader([header]), []))].append(path)
     out = None
     for header, members in groups.items():
-        if not header:
+        if not header:  # a file of blank lines only
             continue
-        text = StructType([StructField(name, StringType()) for name in header])
-        raw = _stamped(spark.read.schema(text).option("header", True).option("multiLine", False).csv([_literal(p) for p in members]))
+        header = _spelled(header, schema)
+        # A line with more or fewer fields than the header is kept whole and so reaches the rescued data.
+        text = StructType([StructField(name, StringType()) for name in (*header, MALFORMED)])
+        reader = spark.read.schema(text).option("header", True).option("multiLine", multi_line)
+        raw = _stamped(reader.option("columnNameOfCorruptRecord", MALFORMED).csv([_literal(p) for p in members]))
         typed = rescue_columns(raw, schema, keep=FILE_COLUMNS)
         out = typed if out is None else out.unionByName(typed)
     return out if out is not None else empty(spark, schema)
@@ -88,7 +104,7 @@ def read_json_text(lines: DataFrame, schema: StructType, multi_line: bool = Fals
 def read_feed(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
     """All rows of the named files."""
     if feed.fmt == "csv":
-        return read_csv_files(spark, paths, feed.schema)
+        return read_csv_files(spark, paths, feed.schema, feed.multi_line)
     lines = spark.read.text([_literal(p) for p in paths], wholetext=feed.multi_line)
     return read_json_text(lines, feed.schema, feed.multi_line)
 

@@ -52,10 +52,18 @@ class HistoryWriter:
         spark = batch.sparkSession
         stage = self._stage(batch, batch_id)
         if not tables.exists(spark, f"{stage}/_SUCCESS"):
+            self._keep_rejects(batch, batch_id)
             self._derive(batch, stage)
         self._swap(spark.read.parquet(stage))
         tables.remove(spark, self._stage(batch, batch_id - 1))
 
+    def _keep_rejects(self, batch: DataFrame, batch_id: int) -> None:
+        """Rows without key or sequence have no place in a history: they are kept as JSON (at least once, if a run dies here)."""
+        lost = history.rejects(batch, self.keys, self.seq)
+        if not lost.isEmpty():
+            kept = lost.select(F.to_json(F.struct(*[ref(c) for c in lost.columns])).alias("row"), F.lit(batch_id).cast("long").alias("batch_id"))
+            kept.write.mode("append").saveAsTable(f"{self.table}_rejects")
+
     def _derive(self, batch: DataFrame, stage: str) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(*[ref(k) for k in self.keys]), F.lit(self.buckets)).cast("int")

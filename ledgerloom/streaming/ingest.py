@@ -74,12 +74,12 @@ def promote_unknown(rows: DataFrame, feed: Feed) -> DataFrame:
 
     Runs one small job: the distinct unknown names of the batch.
     """
-    known = feed.schema.fieldNames()
+    known = [n.lower() for n in feed.schema.fieldNames()]
     entries = F.from_json(RESCUED, "map<string,string>")
     names = (
         rows.where(F.col(RESCUED).isNotNull())
         .select(F.explode(F.map_keys(entries)).alias("name"))
-        .where(~F.col("name").isin(known) & F.col("name").rlike(r"\A[A-Za-z]\w*\z"))
+        .where(~F.lower("name").isin(known) & F.col("name").rlike(r"\A[A-Za-z]\w*\z"))
         .distinct()
     )
     new = sorted(r["name"] for r in names.collect())

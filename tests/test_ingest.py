@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from ledgerloom.sources.files import read_csv_files
+
 import json
 
 import pytest
@@ -189,3 +191,24 @@ def test_empty_csv_batch(spark, tmp_path):
     assert files.read_csv_files(spark, [empty], StructType.fromDDL("a int")).count() == 0
     with pytest.raises(Exception):
         files.read_csv_files(spark, [str(tmp_path / "absent.csv")], StructType.fromDDL("a int"))
+
+
+def test_no_row_field_or_column_is_lost(spark, tmp_path):
+    schema = StructType.fromDDL("id int, amt double, note string")
+    files = {
+        "blank": "\n  \nid,amt,note\n1,2.5,a\n",
+        "surplus": "id,amt,note\n2,3.5,b,EXTRA\n",
+        "case": "ID,Amt,note\n3,4.5,c\n",
+        "empty": "\n\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r["id"]: r for r in read_csv_files(spark, [str(tmp_path / f"{n}.csv") for n in files], schema).collect()}
+    assert set(got) == {1, 2, 3} and got[3]["amt"] == 4.5
+    assert "EXTRA" in got[2]["_rescued_data"] and got[1]["_rescued_data"] is None
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,note\n1,"a\nb"\n')
+    got = read_csv_files(spark, [str(tmp_path / "q.csv")], StructType.fromDDL("id int, note string"), multi_line=True).collect()
+    assert [(r["id"], r["note"]) for r in got] == [(1, "a\nb")]

@@ -267,3 +267,18 @@ def test_resolve_version(spark):
         "model string, version int, alias string",
     )
     assert rows(ranking.resolve_version(df, "model", "version", "alias")) == [("m", 1, "champion"), ("n", 1, "dev"), ("o", 10, "latest")]
+
+
+def test_labels_faults_and_small_means(spark):
+    from ledgerloom.functions.encoding import label_of
+    from ledgerloom.operators.profile import latency_stats  # noqa: F401
+    from ledgerloom.operators.quality import fault_breakdown
+    from ledgerloom.operators import measures
+    from pyspark.sql import functions as F
+
+    index = spark.createDataFrame([("-1",), ("-2",), ("1",), ("Infinity",), ("NaN",), ("1e12",), ("B",), (None,)], "i string")
+    assert [r[0] for r in index.select(label_of(F.col("i"), ["A", "B"])).collect()] == [None, None, "B", None, None, None, "B", None]
+    amounts = spark.createDataFrame([(None,), (-1.0,), (5.0,), (5.0,)], "a double")
+    assert fault_breakdown(amounts, {"negative": "a < 0"}).first()["n_rows"] == 1
+    small = spark.createDataFrame([(0.0042,), (0.0039,), (0.0021,)], "v double")
+    assert abs(measures.rollup(small, [], [measures.mean("m", F.col("v"))]).first()["m"] - 0.0034) < 1e-12
