@@ -39,7 +39,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.llm.common import query, table
 
 #: Characters after which a block of documents is closed.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Documents whose tokens are looked up at once.
 DECODE_ROWS = 256
 
