@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
-from ledgerloom.llm.common import query, table
+from ledgerloom.llm.common import query, release, released, table
 
 #: Characters after which a block of documents is closed.
 BLOCK_CHARS = 4_000_000
@@ -157,6 +157,7 @@ def _number_blocks(pattern: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), count()
         block, keys = Block(pattern), []
+        release()
 
         def close() -> pa.RecordBatch:
             docs, key = list(block.numbers()), pa.concat_arrays(keys)
@@ -183,10 +184,13 @@ def _number_blocks(pattern: str, block_chars: int):
                     keys.append(key[start : i + 1])
                     yield close()
                     block, keys, start = Block(pattern), [], i + 1
+                    release()
             if start < len(key):
                 keys.append(key[start:])
         if keys:
             yield close()
+        block = keys = None
+        release()
 
     return run
 
@@ -195,7 +199,7 @@ def _deal_words(buckets: int):
     """The distinct words of each block, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for block, lengths, letters in zip(*[batch.column(c).to_pylist() for c in ("block", "lengths", "letters")]):
                 words = _unpack_words(lengths, letters)
                 order, cuts = _homes(words, buckets)
@@ -225,6 +229,8 @@ def _encode_bucket(path: str):
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for one in ids for i in one), np.int64, int(counts.sum()))
             out.append({"block": row["block"], "bucket": row["bucket"], "counts": _pack(counts), "ids": _pack(flat)})
+        known.clear()
+        release()
         return pa.Table.from_pylist(out)
 
     return run
@@ -278,7 +284,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(path)
-        for batch in (whole.slice(i, DECODE_ROWS) for whole in batches for i in range(0, len(whole), DECODE_ROWS)):
+        for batch in (whole.slice(i, DECODE_ROWS) for whole in released(batches) for i in range(0, len(whole), DECODE_ROWS)):
             lists = batch.column(1)
             found = tokens.take(lists.flatten())
             if found.null_count:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,19 @@ def unit_hash(*parts: Column | str, digits: int = 15) -> Column:
     """A bigint of ``digits`` hexadecimal digits (at most 15) that SQL engines agree on: md5 of the parts joined by ``|``; NULL parts count as empty."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
+
+
+def release() -> None:
+    """Give freed memory back: Python workers stay alive between stages, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def released(batches: Iterator) -> Iterator:
+    """The same items; memory is given back before the next one is made and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerloom.functions.columns import ref
-from ledgerloom.llm.common import query, staged, table
+from ledgerloom.llm.common import query, release, staged, table
 
 #: Labelled rows of a language that are learned from, at most.
 PER_LANGUAGE = 400
@@ -181,6 +181,7 @@ def predictor(model: Model):
         for at in range(0, len(rows), 256):
             some = rows[at : at + 256]
             lang[some], score[some] = model.predict([texts.iloc[i] for i in some])
+        release()
         return pd.DataFrame({"lang": lang, "score": score})
 
     return predict

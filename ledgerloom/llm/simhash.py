@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ledgerloom.functions.columns import ref
-from ledgerloom.llm.common import query, staged, table
+from ledgerloom.llm.common import query, release, staged, table
 from ledgerloom.llm.components import components
 
 #: Words in a shingle, differing bits of a link, and the hash seed.
@@ -69,7 +69,9 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    prints = pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    release()
+    return prints
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
