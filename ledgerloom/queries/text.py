@@ -112,7 +112,7 @@ _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: rege
 g AS (SELECT *, list_position(list_transform(lines, lambda x: regexp_matches(x, 'Dear |Subject:|Hi |Greetings')), true) AS first FROM l),
 b AS (SELECT *, CASE WHEN first > 0 THEN lines[first:] END AS body FROM g),
 e AS (SELECT *, list_position(list_transform(body, lambda x: regexp_matches(x, 'Regards|Sincerely|Warm regards|Best')), true) AS last FROM b)
-SELECT conv_id, turn, CASE role WHEN 'assistant' THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN 'system' THEN text
+SELECT conv_id, turn, CASE role WHEN 'assistant' THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 'system' THEN text
   ELSE array_to_string(CASE WHEN first > 0 THEN (CASE WHEN last > 0 THEN body[:last] ELSE body END) ELSE lines[greatest(len(lines) - 14, 1):] END, chr(10)) END AS reply FROM e"""
 )
 def q_reply_text(t: Tables) -> DataFrame:
