@@ -9,7 +9,9 @@ Shuffled are the numbered documents, once, and per block its distinct words and
 their ids: a word as frequent as it may be is one entry per block.
 
 Decoding joins the token-byte table (one entry per id of the vocabulary, its
-bound) by id inside each task and concatenates the bytes in order.
+bound) by id inside each task and concatenates the bytes in order. Where encoded
+documents are decoded at once, the task that reassembles them does it: a second
+Python operator in the stage would be a second worker to every core.
 
 NULL text counts as empty and gives no ids; a word may be as long as a text.
 Repeated rows are encoded each, NULL keys are carried, an empty table gives an
@@ -236,8 +238,8 @@ def _encode_bucket(path: str):
     return run
 
 
-def _reassemble(buckets: int):
-    """Documents of one block as ids, from the ids of its words."""
+def _reassemble(buckets: int, spell_by: str | None):
+    """Documents of one block as ids, from the ids of its words, and with a rank file the bytes decoded from them."""
 
     def run(replies: pa.Table, block: pa.Table) -> pa.Table:
         (row,) = block.select(["sizes", "codes", "lengths", "letters"]).to_pylist()
@@ -256,15 +258,29 @@ def _reassemble(buckets: int):
         words_before = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])[words_before]
         keys = block.column("keys").combine_chunks().flatten()
-        return pa.table({"key": keys, "ids": pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(flat, _ID))})
+        out = {"key": keys, "ids": pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(flat, _ID))}
+        if spell_by:
+            out["bytes"] = _spell(out["ids"], token_bytes(spell_by))
+        release()
+        return pa.table(out)
 
     return run
 
 
 def encode(
-    df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    key: str = "doc_id",
+    text: str = "text",
+    block_chars: int = BLOCK_CHARS,
+    buckets: int | None = None,
+    spelled: bool = False,
 ) -> DataFrame:
-    """key, ids (array<int>) of every row. ``path`` is a rank file, ``buckets`` the word buckets (default: shuffle partitions)."""
+    """key, ids (array<int>) of every row; ``spelled`` adds the bytes decoded from the ids, in the same Python worker.
+
+    ``path`` is a rank file, ``buckets`` the word buckets (default: shuffle partitions).
+    """
     rows = df.select(ref(key).alias("key"), ref(text).alias("text"))
     kind = dict(rows.dtypes)["key"]
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -274,8 +290,24 @@ def encode(
     ).repartition("block")
     dealt = blocks.mapInArrow(_deal_words(buckets), f"bucket long, block string, {_WORDS}")
     replies = dealt.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket long, counts binary, ids binary")
-    whole = replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_reassemble(buckets), f"key {kind}, ids array<int>")
-    return whole.select(F.col("key").alias(key), "ids")
+    columns = {"ids": "array<int>"} | ({"bytes": "binary"} if spelled else {})
+    whole = replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        _reassemble(buckets, path if spelled else None), ", ".join(f"{c} {t}" for c, t in {"key": kind, **columns}.items())
+    )
+    return whole.select(F.col("key").alias(key), *columns)
+
+
+def _spell(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """Bytes of each list of ids: the token-byte table joined by id, in order."""
+    found = tokens.take(lists.flatten())
+    if found.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    at = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+    joined = pa.Array.from_buffers(
+        pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at[ends], dtype=np.int32)), found.buffers()[2] or pa.py_buffer(b"")]
+    )
+    return pa.compute.if_else(lists.is_valid(), joined, pa.scalar(None, pa.binary())) if lists.null_count else joined
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -285,17 +317,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(path)
         for batch in (whole.slice(i, DECODE_ROWS) for whole in released(batches) for i in range(0, len(whole), DECODE_ROWS)):
-            lists = batch.column(1)
-            found = tokens.take(lists.flatten())
-            if found.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            at = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            joined = pa.Array.from_buffers(
-                pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at[ends], dtype=np.int32)), found.buffers()[2] or pa.py_buffer(b"")]
-            )
-            joined = pa.compute.if_else(lists.is_valid(), joined, pa.scalar(None, pa.binary())) if lists.null_count else joined
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, joined], ["key", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _spell(batch.column(1), tokens)], ["key", "ids", "bytes"])
 
     kind = dict(rows.dtypes)["key"]
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, bytes binary").select(F.col("key").alias(key), "ids", "bytes")
@@ -303,7 +325,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the decoded bytes."""
-    return decode(encode(df, path, pattern), path).select(
+    return encode(df, path, pattern, spelled=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

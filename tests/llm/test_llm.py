@@ -116,6 +116,8 @@ def test_bpe_equals_the_library(spark, odd, reference_encoding, block_chars):
     got = sorted((str(r["doc_id"]), r["ids"], bytes(r["bytes"])) for r in bpe.decode(coded, RANKS).collect())
     want = sorted((str(r["doc_id"]), reference_encoding.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in odd.collect())
     assert got == want
+    at_once = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, block_chars=block_chars, buckets=3, spelled=True)
+    assert sorted((str(r["doc_id"]), r["ids"], bytes(r["bytes"])) for r in at_once.collect()) == want
 
 
 @given(st.text(alphabet=st.sampled_from(" \n\t　ab1é'!s"), max_size=40))
