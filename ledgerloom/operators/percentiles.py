@@ -25,8 +25,11 @@ SPREAD = 1e12
 
 def _slice(slices: int) -> Column:
     """Monotone slice number of ``_v`` between ``_lo`` and ``_hi``."""
-    part = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return F.floor(F.log1p(part * F.lit(SPREAD)) * F.lit(slices / log1p(SPREAD))).cast("int")
+    quarter = lambda c: F.col(c) / F.lit(4.0)  # noqa: E731  (differences of doubles may overflow)
+    part = F.coalesce(F.try_divide(quarter("_v") - quarter("_lo"), quarter("_hi") - quarter("_lo")), F.lit(0.0))
+    finite = F.floor(F.log1p(part * F.lit(SPREAD)) * F.lit(slices / log1p(SPREAD)))
+    low, high = F.col("_v") == F.lit(float("-inf")), F.col("_v") >= F.lit(float("inf"))  # NaN is above infinity
+    return F.when(low, -1).when(high, slices + 1).otherwise(finite).cast("int")
 
 
 def exact_percentiles(
@@ -35,27 +38,23 @@ def exact_percentiles(
     value: str,
     wanted: Mapping[str, float],
     slices: int = 65_536,
-    small_group: int = 100_000,
 ) -> DataFrame:
     """One row per group: each name of ``wanted`` -> linearly interpolated percentile.
 
     Matches ``percentile(value, p)``: rank p*(n-1), NULL values left out. The data
     is read three times: for bounds and for slice counts (both run here), and for
-    the rows of the wanted slices (lazy). When the largest group is known to have
-    at most ``small_group`` rows, Spark's own ``percentile`` is used instead.
+    the rows of the wanted slices (lazy). Infinities and NaN have slices of their own.
     """
     # Struct keys compare NULL fields as equal, so a NULL group joins to itself.
     keys = ["_g"]
     group = F.struct(*[ref(k) for k in by]) if by else F.struct(F.lit(1).alias("_all"))
     rows = df.where(ref(value).isNotNull()).select(group.alias("_g"), ref(value).cast("double").alias("_v"))
+    finite = F.when(F.abs("_v") < F.lit(float("inf")), F.col("_v"))
     bounds = settle(
         rows.groupBy(*keys).agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), (F.count(F.lit(1)) - F.lit(1)).alias("_last")
+            F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), (F.count(F.lit(1)) - F.lit(1)).alias("_last")
         )
     )
-    if (bounds.agg(F.max("_last")).first()[0] or 0) < small_group:
-        direct = rows.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in wanted.items()])
-        return direct.select(*[F.col("_g")[k].alias(k) for k in by], *wanted)
     sliced = rows.join(bounds, keys).select(*keys, "_v", "_last", _slice(slices).alias("_slice"))
     # At most ``slices`` + 1 rows per group.
     upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -91,6 +90,7 @@ def exact_percentiles(
         low = F.max(F.when(mine & ~F.col("_r.upper"), F.col("_v")))
         high = F.max(F.when(mine & F.col("_r.upper"), F.col("_v")))
         at = F.max(F.when(mine, F.col("_r.at")))
-        columns.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        exact = (low == high) | (low == F.lit(float("-inf")))
+        columns.append(F.when(exact, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
     out = found.groupBy(*keys).agg(*columns)
     return out.select(*[F.col("_g")[k].alias(k) for k in by], *wanted)

@@ -90,29 +90,35 @@ def test_arrange(odd):
         choose.arrange(odd, [], mode="other")
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_percentiles_match_numpy(spark, small_group):
-    """Both paths; a hot group, heavy ties, outliers, a NULL group, NULL values."""
+def test_percentiles_of_infinities_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, inf, nan)] + [("b", inf), ("c", -1.7e308), ("c", 1.7e308)], "g string, v double")
+    out = {r["g"]: tuple(r)[1:] for r in exact_percentiles(df, ["g"], "v", {"lo": 0.0, "mid": 0.5, "p75": 0.75}).collect()}
+    assert out["a"] == (-inf, 2.0, inf) and out["b"] == (inf, inf, inf) and out["c"][0] == -1.7e308
+
+
+def test_percentiles_match_numpy(spark):
+    """A hot group, heavy ties, outliers, a NULL group, NULL values."""
     rng = random.Random(5)
     data = [("hot", round(rng.gauss(0, 50), 2)) for _ in range(4000)]
     data += [("ties", float(rng.randrange(3))) for _ in range(500)] + [("one", 7.5), ("same", 2.0), ("same", 2.0)]
     data += [("tail", 10.0 ** rng.randrange(12)) for _ in range(300)] + [(None, float(i)) for i in range(10)] + [("hot", None)]
     df = spark.createDataFrame(data, "g string, v double")
     wanted = {"low": 0.0, "p05": 0.05, "mid": 0.5, "p95": 0.95, "top": 1.0}
-    out = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", wanted, slices=64, small_group=small_group).collect()}
+    out = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", wanted, slices=64).collect()}
     for g in {d[0] for d in data}:
         values = [v for k, v in data if k == g and v is not None]
         for name, p in wanted.items():
             assert math.isclose(out[g][name], np.quantile(values, p), rel_tol=1e-9, abs_tol=1e-9), (g, name)
-    everything = exact_percentiles(df, [], "v", {"mid": 0.5}, small_group=small_group).first()["mid"]
+    everything = exact_percentiles(df, [], "v", {"mid": 0.5}).first()["mid"]
     assert everything == np.quantile([v for _, v in data if v is not None], 0.5)
 
 
 def test_percentiles_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("v"))
-    small = rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}, small_group=0))
+    small = rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}))
     monkeypatch.setattr(percentiles, "settle", lambda summary: sizes.settle(summary, 0))
-    assert rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}, small_group=0)) == small
+    assert rows(exact_percentiles(df, ["g"], "v", {"m": 0.5})) == small
 
 
 def test_rollup_through_equals_direct(spark):
