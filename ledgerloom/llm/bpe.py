@@ -10,8 +10,9 @@ their ids: a word as frequent as it may be is one entry per block.
 
 Decoding joins the token-byte table (one entry per id of the vocabulary, its
 bound) by id inside each task and concatenates the bytes in order. Where encoded
-documents are decoded at once, the task that reassembles them does it: a second
-Python operator in the stage would be a second worker to every core.
+documents are decoded or digested at once, the task that reassembles them does it:
+a second Python operator in the stage would be a second worker to every core, and
+ids shown as text would be a string object each.
 
 NULL text counts as empty and gives no ids; a word may be as long as a text.
 Repeated rows are encoded each, NULL keys are carried, an empty table gives an
@@ -23,8 +24,9 @@ points assigned since then.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -44,6 +46,8 @@ from ledgerloom.llm.common import query, release, released, table
 BLOCK_CHARS = 4_000_000
 #: Documents whose tokens are looked up at once.
 DECODE_ROWS = 256
+#: Ids of a document that are digested at once.
+DIGEST_IDS = 1 << 20
 
 _ID = pa.int32()
 
@@ -67,6 +71,12 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array([known.get(i) for i in range(max(known, default=-1) + 1)], pa.binary())
 
 
+@lru_cache(maxsize=2)
+def decimals(path: str) -> pa.Array:
+    """A comma and the decimal id of every token: position is the id."""
+    return pa.array([b",%d" % i for i in range(len(token_bytes(path)))], pa.binary())
+
+
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each piece, one piece after the other."""
     before = np.cumsum(lengths) - lengths
@@ -238,8 +248,8 @@ def _encode_bucket(path: str):
     return run
 
 
-def _reassemble(buckets: int, spell_by: str | None):
-    """Documents of one block as ids, from the ids of its words, and with a rank file the bytes decoded from them."""
+def _reassemble(buckets: int, finish: Callable[[pa.ListArray], dict[str, pa.Array]]):
+    """Documents of one block as ids, from the ids of its words, and what ``finish`` makes of them."""
 
     def run(replies: pa.Table, block: pa.Table) -> pa.Table:
         (row,) = block.select(["sizes", "codes", "lengths", "letters"]).to_pylist()
@@ -258,29 +268,25 @@ def _reassemble(buckets: int, spell_by: str | None):
         words_before = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])[words_before]
         keys = block.column("keys").combine_chunks().flatten()
-        out = {"key": keys, "ids": pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(flat, _ID))}
-        if spell_by:
-            out["bytes"] = _spell(out["ids"], token_bytes(spell_by))
+        out = {"key": keys, **finish(pa.ListArray.from_arrays(pa.array(ends, _ID), pa.array(flat, _ID)))}
         release()
         return pa.table(out)
 
     return run
 
 
-def encode(
+def _encoded(
     df: DataFrame,
-    path: str,
     pattern: str,
-    key: str = "doc_id",
-    text: str = "text",
-    block_chars: int = BLOCK_CHARS,
-    buckets: int | None = None,
-    spelled: bool = False,
+    path: str,
+    finish: Callable[[pa.ListArray], dict[str, pa.Array]],
+    columns: dict[str, str],
+    key: str,
+    text: str,
+    block_chars: int,
+    buckets: int | None,
 ) -> DataFrame:
-    """key, ids (array<int>) of every row; ``spelled`` adds the bytes decoded from the ids, in the same Python worker.
-
-    ``path`` is a rank file, ``buckets`` the word buckets (default: shuffle partitions).
-    """
+    """The key of every row and the ``columns`` that ``finish`` makes of the ids."""
     rows = df.select(ref(key).alias("key"), ref(text).alias("text"))
     kind = dict(rows.dtypes)["key"]
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -290,13 +296,34 @@ def encode(
     ).repartition("block")
     dealt = blocks.mapInArrow(_deal_words(buckets), f"bucket long, block string, {_WORDS}")
     replies = dealt.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket long, counts binary, ids binary")
-    columns = {"ids": "array<int>"} | ({"bytes": "binary"} if spelled else {})
     whole = replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
-        _reassemble(buckets, path if spelled else None), ", ".join(f"{c} {t}" for c, t in {"key": kind, **columns}.items())
+        _reassemble(buckets, finish), ", ".join(f"{c} {t}" for c, t in {"key": kind, **columns}.items())
     )
     return whole.select(F.col("key").alias(key), *columns)
 
 
+def encode(
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    key: str = "doc_id",
+    text: str = "text",
+    block_chars: int = BLOCK_CHARS,
+    buckets: int | None = None,
+    spelled: bool = False,
+) -> DataFrame:
+    """key, ids (array<int>) of every row; ``spelled`` adds the bytes decoded from the ids, in the same Python worker.
+
+    ``path`` is a rank file, ``buckets`` the word buckets (default: shuffle partitions).
+    """
+
+    def finish(ids: pa.ListArray) -> dict[str, pa.Array]:
+        return {"ids": ids} | ({"bytes": _spell(ids, token_bytes(path))} if spelled else {})
+
+    columns = {"ids": "array<int>"} | ({"bytes": "binary"} if spelled else {})
+    return _encoded(df, pattern, path, finish, columns, key, text, block_chars, buckets)
+
+
 def _spell(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
     """Bytes of each list of ids: the token-byte table joined by id, in order."""
     found = tokens.take(lists.flatten())
@@ -323,14 +350,41 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, bytes binary").select(F.col("key").alias(key), "ids", "bytes")
 
 
-def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the decoded bytes."""
-    return encode(df, path, pattern, spelled=True).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+def _joined(ids: pa.Array, entries: pa.Array) -> memoryview:
+    """The entries of all ids, one after the other."""
+    found = entries.take(ids)
+    if found.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    if not len(found):
+        return memoryview(b"")
+    ends = np.frombuffer(found.buffers()[1], dtype=np.int32)
+    return memoryview(found.buffers()[2])[ends[found.offset] : ends[found.offset + len(found)]]
+
+
+def _digest(path: str):
+    """n_tokens and the digests of each list of ids, a slice of a list at a time."""
+
+    def run(lists: pa.ListArray) -> dict[str, pa.Array]:
+        tokens, names, flat = token_bytes(path), decimals(path), lists.flatten()
+        lengths = lists.value_lengths().to_numpy()
+        digests: tuple[list[str], list[str]] = ([], [])
+        for end, length in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+            shown, decoded = hashlib.sha256(), hashlib.sha256()
+            for at in range(end - length, end, DIGEST_IDS):
+                piece = flat.slice(at, min(DIGEST_IDS, end - at))
+                shown.update(_joined(piece, names)[at == end - length :])  # no comma before the first id
+                decoded.update(_joined(piece, tokens))
+            digests[0].append(shown.hexdigest())
+            digests[1].append(decoded.hexdigest())
+        return {"n_tokens": pa.array(lengths, pa.int64()), "ids_sha256": pa.array(digests[0], pa.string()), "decoded_sha256": pa.array(digests[1], pa.string())}
+
+    return run
+
+
+def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
+    """key, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256 (of the bytes decoded from the ids)."""
+    columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return _encoded(df, pattern, path, _digest(path), columns, key, text, block_chars, buckets)
 
 
 @query()

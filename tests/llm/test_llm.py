@@ -118,6 +118,20 @@ def test_bpe_equals_the_library(spark, odd, reference_encoding, block_chars):
     assert got == want
     at_once = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, block_chars=block_chars, buckets=3, spelled=True)
     assert sorted((str(r["doc_id"]), r["ids"], bytes(r["bytes"])) for r in at_once.collect()) == want
+    digests = bpe.digests(odd, RANKS, public_tokenizers.PATTERN, block_chars=block_chars, buckets=3).collect()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in digests) == sorted(
+        (key, len(ids), sha(",".join(map(str, ids)).encode()), sha(data)) for key, ids, data in want
+    )
+
+
+@pytest.mark.parametrize("step", [1, 2, 1 << 20])
+def test_digests_in_slices(monkeypatch, reference_encoding, step):
+    monkeypatch.setattr(bpe, "DIGEST_IDS", step)
+    ids = [reference_encoding.encode_ordinary(t) for t in ("", "the cat sat on the mat", "é", "")]
+    got = bpe._digest(RANKS)(bpe.pa.array(ids, bpe.pa.list_(bpe.pa.int32())))
+    assert got["ids_sha256"].to_pylist() == [hashlib.sha256(",".join(map(str, one)).encode()).hexdigest() for one in ids]
+    assert got["decoded_sha256"].to_pylist() == [hashlib.sha256(reference_encoding.decode_bytes(one)).hexdigest() for one in ids]
 
 
 @given(st.text(alphabet=st.sampled_from(" \n\t　ab1é'!s"), max_size=40))
