@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from ledgerloom.operators import profile
 from ledgerloom.operators.ranking import resolve_version, stratified_split
 from ledgerloom.operators.sizes import settle
 from ledgerloom.schemas import FEATURES, LABEL_CLASSES
+from ledgerloom.session import shared_dir
 from ledgerloom.sinks import tables
 from ledgerloom.sources.queries import scan
 
@@ -56,6 +58,8 @@ class Run:
     metrics: DataFrame
     macro_f1: float
     params: dict = field(default_factory=dict)
+    n_train: int = 0
+    n_test: int = 0
 
 
 def top_up(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -81,8 +85,12 @@ def top_up(rows: DataFrame, spec: Spec) -> DataFrame:
 
 
 def split(rows: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Stratified train and test rows; the split depends on the key and seed only."""
-    marked = stratified_split(rows, [spec.key], spec.label, spec.test_share, spec.seed)
+    """Stratified train and test rows; the split depends on the key and seed only.
+
+    Runs jobs: the marked rows are written once, for every fit and evaluation.
+    """
+    shared_dir(rows.sparkSession)
+    marked = stratified_split(rows, [spec.key], spec.label, spec.test_share, spec.seed).checkpoint()
     return tuple(marked.where(F.col("split") == part).drop("split") for part in ("train", "test"))  # type: ignore[return-value]
 
 
@@ -117,15 +125,25 @@ def fit_boosted(train: DataFrame, spec: Spec, early_stop: bool = False) -> Pipel
     and are not calibrated probabilities. With ``early_stop`` a tenth of the
     rows, chosen by key hash, decides when to stop.
     """
-    rows = _vectors(train, spec)
+    rows, stages = _vectors(train, spec), _stages(spec)
     boost = GBTClassifier(
-        maxIter=spec.boost_rounds, maxDepth=spec.boost_depth, stepSize=spec.boost_step, subsamplingRate=spec.boost_sample, seed=spec.seed
+        maxIter=spec.boost_rounds,
+        maxDepth=spec.boost_depth,
+        stepSize=spec.boost_step,
+        subsamplingRate=spec.boost_sample,
+        seed=spec.seed,
+        validationTol=spec.early_stop_tol,
     )
-    if early_stop:
-        boost = boost.setValidationIndicatorCol("held_out").setValidationTol(spec.early_stop_tol)
-        rows = rows.withColumn("held_out", F.pmod(F.xxhash64(ref(spec.key), F.lit(spec.seed)), F.lit(10)) == 0)
-    rest = OneVsRest(classifier=boost, labelCol="label", featuresCol="features")
-    return Pipeline(stages=[*_stages(spec), rest]).fit(rows)
+    if not early_stop:
+        return Pipeline(stages=[*stages, OneVsRest(classifier=boost, labelCol="label", featuresCol="features")]).fit(rows)
+    boost = boost.setValidationIndicatorCol("held_out")
+    # OneVsRest hands on label and features only, so the held-out mark needs a fit per class here.
+    marked = rows.withColumn("held_out", F.pmod(F.xxhash64(ref(spec.key), F.lit(spec.seed)), F.lit(10)) == 0)
+    ready = PipelineModel(stages).transform(marked).select("label", "features", "held_out")
+    each = [boost.fit(ready.withColumn("label", (F.col("label") == F.lit(i)).cast("double"))) for i in range(len(spec.classes))]
+    rest = OneVsRestModel(each)
+    rest.set(rest.classifier, boost)
+    return PipelineModel([*stages, rest])
 
 
 def probabilities(scored: DataFrame, size: int) -> Column:
@@ -148,15 +166,17 @@ def evaluate(model: PipelineModel, test: DataFrame, spec: Spec) -> DataFrame:
     return profile.class_metrics(matrix, list(spec.classes))
 
 
-def train(rows: DataFrame, spec: Spec = Spec()) -> tuple[Run, list[Run]]:
-    """Fit both contestants; the higher macro F1 wins, a tie goes to the boosted model."""
+def train(rows: DataFrame, spec: Spec = Spec(), early_stop: bool = False) -> tuple[Run, list[Run]]:
+    """Fit both contestants; the higher macro F1 wins, a tie goes to the boosted model, which may stop early."""
     training, test = split(top_up(rows, spec), spec)
+    sizes = {"n_train": training.count(), "n_test": test.count()}
     runs = []
-    for name, algorithm, fit in (("rf_baseline", "random_forest", fit_forest), ("boosted_challenger", "boosted_one_vs_rest", fit_boosted)):
+    boosted = partial(fit_boosted, early_stop=early_stop)
+    for name, algorithm, fit in (("rf_baseline", "random_forest", fit_forest), ("boosted_challenger", "boosted_one_vs_rest", boosted)):
         model = fit(training, spec)
         metrics = evaluate(model, test, spec)
         score = profile.macro_f1(metrics).first()["macro_f1"]
-        runs.append(Run(name, algorithm, model, metrics, score, {"seed": spec.seed, "features": len(spec.features)}))
+        runs.append(Run(name, algorithm, model, metrics, score, {"seed": spec.seed, "features": len(spec.features)}, **sizes))
     winner = max(runs, key=lambda r: (r.macro_f1, r.algorithm == "boosted_one_vs_rest"))
     return winner, runs
 
@@ -167,22 +187,32 @@ def importances(model: PipelineModel, spec: Spec) -> list[tuple[str, float]]:
     return sorted(((c, float(values[i])) for i, c in enumerate(spec.features)), key=lambda x: (-x[1], x[0]))
 
 
-def shuffled(rows: DataFrame, key: str, column: str, seed: int, slices: int) -> DataFrame:
-    """The frame with one column permuted among rows of the same hash slice."""
-    base = rows.withColumn("_s", F.pmod(F.xxhash64(ref(key), F.lit(seed)), F.lit(slices)))
-    order = lambda s: F.row_number().over(W.partitionBy("_s").orderBy(F.xxhash64(ref(key), F.lit(s)), ref(key)))
-    left = base.withColumn("_r", order(seed + 1)).drop(column)
-    right = base.withColumn("_r", order(seed + 2)).select("_s", "_r", ref(column))
-    return left.join(right, ["_s", "_r"]).select(*rows.columns)
+def _places(rows: DataFrame, key: str, seed: int, slices: int) -> DataFrame:
+    """The rows with ``_place``, 1 to n in an order by hash: ranks inside a hash slice, after all earlier slices.
+
+    Only the sizes of the slices meet in one task.
+    """
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(ref(key), F.lit(seed)), F.lit(slices)))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("_slice").alias("_s"), (F.sum("_n").over(W.orderBy("_slice")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_slice").orderBy(F.xxhash64(ref(key), F.lit(seed)), ref(key)))
+    ranked = sliced.withColumn("_rank", rank).join(before, F.col("_slice") == F.col("_s"))
+    return ranked.withColumn("_place", F.col("_before") + F.col("_rank")).drop("_slice", "_s", "_rank", "_before")
+
+
+def shuffled(rows: DataFrame, key: str, column: str, seed: int, slices: int = 4096) -> DataFrame:
+    """The frame with one column permuted among all rows; ``slices`` are those of the sort."""
+    left = _places(rows, key, seed + 1, slices).drop(column)
+    right = _places(rows.select(ref(key), ref(column)), key, seed + 2, slices).select("_place", ref(column))
+    return left.join(right, "_place").select(*[ref(c) for c in rows.columns])
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, spec: Spec, columns: Sequence[str] | None = None) -> list[tuple[str, float]]:
     """Loss of macro F1 when a feature is permuted; works for any model kind."""
     base = profile.macro_f1(evaluate(model, test, spec)).first()["macro_f1"]
-    slices = max(1, test.count() // 100_000)
     drops = []
     for c in columns or spec.features:
-        score = profile.macro_f1(evaluate(model, shuffled(test, spec.key, c, spec.seed, slices), spec)).first()["macro_f1"]
+        score = profile.macro_f1(evaluate(model, shuffled(test, spec.key, c, spec.seed), spec)).first()["macro_f1"]
         drops.append((c, base - score))
     return sorted(drops, key=lambda x: (-x[1], x[0]))
 

@@ -77,9 +77,9 @@ def eval_log(payloads: DataFrame, classes: Sequence[str], request_id: str = "req
 
 
 def eval_log_from_batch(log: DataFrame) -> DataFrame:
-    """The same table from the batch inference log; ids are a hash of the row."""
+    """The same table from the batch inference log; ids are a hash of the row and its moment."""
     return log.select(
-        F.sha2(F.concat_ws("|", "party_id", "batch_id", "model_version"), 256).alias("request_id"),
+        F.sha2(F.concat_ws("|", "party_id", "batch_id", "model_version", F.unix_micros("scored_at")), 256).alias("request_id"),
         "predicted_label",
         "scored_at",
         F.lit("batch").alias("source"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.encoding import ordinal
 from ledgerloom.plans import features, model, scoring
+from ledgerloom.plans.advisor import Advisor
 from ledgerloom.schemas import FEATURES, LABEL_CLASSES
 from ledgerloom.sources.queries import scan
 
@@ -81,6 +82,34 @@ def test_shuffling_keeps_the_values(rows_of_features):
     assert moved > 300
 
 
+def test_the_permutation_is_of_all_rows(spark):
+    two = spark.range(200).select("id", F.when(F.col("id") < 100, 0).otherwise(1).alias("v"))
+    for slices in (1, 7, 4096):
+        places = [r[0] for r in model._places(two, "id", 3, slices).select("_place").collect()]
+        assert sorted(places) == list(range(1, 201))
+        mixed = model.shuffled(two, "id", "v", 3, slices)
+        assert mixed.count() == 200 and mixed.agg(F.sum("v")).first()[0] == 100
+        assert 20 < mixed.where("id < 100").agg(F.sum("v")).first()[0] < 80
+
+
+def test_advisor_runs_from_features_to_decision(spark, rows_of_features, table, tmp_path):
+    names = {n: table(n) for n in ("features", "runs", "versions", "recommended", "log", "drift", "evaluation")}
+    rows_of_features.write.saveAsTable(names["features"])
+    tiny = model.Spec(trees=3, tree_depth=4, boost_rounds=2, boost_depth=2)
+    advisor = Advisor(spark, str(tmp_path), tiny, **names)
+    first = advisor.run(early_stop=True)
+    assert (first["retrain_needed"], first["drift_reason"]) == (False, "no_metrics_available")
+    assert scan(spark, names["recommended"]).count() == scan(spark, names["evaluation"]).count() == 600
+    assert {(r["n_train"] + r["n_test"]) for r in scan(spark, names["runs"]).collect()} == {602}
+    again = advisor.run()
+    assert (again["retrain_needed"], again["drift_reason"], again["js_distance"]) == (False, "no_drift", 0.0)
+    log = scan(spark, names["log"])
+    assert log.count() == 1200 and scoring.eval_log_from_batch(log).select("request_id").distinct().count() == 1200
+    served = spark.createDataFrame([("r1", '{"predictions": ["HOME_LOAN"]}', 1_700_000_000_000)], "request_id string, response string, timestamp_ms long")
+    assert [tuple(r)[:2] for r in advisor.evaluate(served).collect()] == [("r1", "HOME_LOAN")]
+    assert advisor.decide(force=True)["drift_reason"] == "force_retrain_override"
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_scores_are_probabilities(trained, rows_of_features, which):
     scored = scoring.score(trained[1][which].model, rows_of_features, SMALL)
