@@ -10,13 +10,16 @@ a hash of the key. Everything else covers all rows.
 A pair's margin becomes a number from 0 to 1 by a logistic curve; a class's share
 is the mean over its pairs, and the score is the share of the family times that
 of the language. Texts that are NULL or hold no letter are ``und`` with score 0,
-and so is everything if there is no labelled row. Rows without label or key are
+and so is everything if there is no labelled row. Shares compare the classes with each
+other: the best one is a half at least, whatever the text is. Whether a text is in
+its language at all is told by its fit (see ``Usual``). Rows without label or key are
 not learned from. Repeated rows are predicted each, an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ledgerloom.functions.columns import ref
 from ledgerloom.llm.common import query, release, staged, table
@@ -35,6 +38,10 @@ from ledgerloom.llm.common import query, release, staged, table
 PER_LANGUAGE = 400
 #: Hashed features.
 FEATURES = 4096
+#: A text's fit counts grams that a language never showed as if they had this share.
+UNSEEN = 1e-5
+#: Labelled rows that a language needs before its own fits say what is usual.
+MIN_HELD = 20
 #: Passes over the sample, and the weight of its errors.
 EPOCHS, COST = 20, 10.0
 
@@ -53,6 +60,7 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
+_NUMBER = re.compile(r"[\d@]")
 
 
 def family(language: str) -> str:
@@ -73,6 +81,11 @@ def features(text: str) -> np.ndarray:
     return (counts / norm if norm else counts).astype(np.float32)
 
 
+def words(text: str) -> np.ndarray:
+    """The vector of the words that hold neither a digit nor an @, which say nothing of a language; of the text if there is no other."""
+    return features(" ".join(w for w in text.split() if w.isalpha() or not _NUMBER.search(w)) or text)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -114,10 +127,13 @@ class Model:
         names = sorted(self.families)
         if not names or not texts:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        x = np.stack([features(t) for t in texts])
+        return self.predict_vectors(np.stack([features(t) for t in texts]))
+
+    def predict_vectors(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        names = sorted(self.families)
         shares = self._shares([f"family {n}" for n in names], x)
         first, score = shares.argmax(axis=1), shares.max(axis=1)
-        out = np.empty(len(texts), dtype=object)
+        out = np.empty(len(x), dtype=object)
         for f, name in enumerate(names):
             rows, languages = np.flatnonzero(first == f), self.families[name]
             if len(rows):
@@ -127,8 +143,8 @@ class Model:
         return out.tolist(), score
 
 
-def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """Learn from the rows where ``learn`` holds and label and key aren't NULL. Runs jobs; weights of the pairs come to the driver."""
+def sampled(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """label, x, words: vectors of at most ``PER_LANGUAGE`` texts of each language, of rows where ``learn`` holds and label and key aren't NULL. Runs jobs."""
     labelled = df.where(learn & ref(label).isNotNull() & ref(key).isNotNull() & ref(text).isNotNull()).select(
         ref(label).cast("string").alias("label"), F.xxhash64(ref(key), F.lit(7)).alias("spot"), ref(text).alias("text")
     )
@@ -143,9 +159,18 @@ def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", l
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[batch["text"].map(has_letter).astype(bool)]
-            yield pd.DataFrame({"label": batch["label"], "x": [features(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], **{k: [f(t).tobytes() for t in batch["text"]] for k, f in (("x", features), ("words", words))}})
+
+    return staged(sample.mapInPandas(vectors, "label string, x binary, words binary"))
 
-    sample = staged(sample.mapInPandas(vectors, "label string, x binary"))
+
+def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
+    """Learn from the rows where ``learn`` holds and label and key aren't NULL. Runs jobs; weights of the pairs come to the driver."""
+    return train(sampled(df, learn, key, text, label))
+
+
+def train(sample: DataFrame) -> Model:
+    """A model of the vectors of ``sampled``. Runs jobs."""
     languages = sorted(r["label"] for r in sample.select("label").distinct().collect())
     families: dict[str, list[str]] = {}
     for code in languages:
@@ -162,12 +187,75 @@ def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", l
 
     pairs = {}
     if roles:
-        dealt = df.sparkSession.createDataFrame(roles, "pair string, label string, side int")
-        for r in sample.join(F.broadcast(dealt), "label").groupBy("pair").applyInPandas(solve, "pair string, weights binary").collect():
+        dealt = sample.sparkSession.createDataFrame(roles, "pair string, label string, side int")
+        for r in sample.drop("words").join(F.broadcast(dealt), "label").groupBy("pair").applyInPandas(solve, "pair string, weights binary").collect():
             pairs[tuple(r["pair"].split("\n"))] = np.frombuffer(r["weights"])
     return Model(families, pairs)
 
 
+@dataclass(frozen=True)
+class Usual:
+    """How well texts fit the language they are in.
+
+    The fit of a text is the mean, over the grams of its ``words``, of the binary logarithm of the
+    gram's share in the language against an even spread: below zero for letters
+    at random. ``least`` is the smallest fit that still counts as the language.
+    """
+
+    gains: dict[str, np.ndarray]
+    least: dict[str, float]
+
+    def fits(self, languages: list[str], x: np.ndarray) -> np.ndarray:
+        return np.array([np.square(v.astype(np.float64)) @ self.gains[code] for v, code in zip(x, languages)])
+
+    def within(self, languages: list[str], x: np.ndarray) -> np.ndarray:
+        return self.fits(languages, x) >= [self.least.get(code, -np.inf) for code in languages]
+
+
+def usual(learned: DataFrame, held: DataFrame) -> Usual:
+    """Shares of grams from the vectors ``learned``, least fits from those ``held`` out. Runs jobs; a row per language comes to the driver.
+
+    The least fit is the lowest hundredth of the language's held-out fits, less half of
+    it or half a bit. A language with fewer than ``MIN_HELD`` held-out rows takes the
+    lowest of the others; if there is none, nothing is too low.
+    """
+
+    def shares(part: pd.DataFrame) -> pd.DataFrame:
+        mean = np.mean([np.square(np.frombuffer(v, dtype=np.float32).astype(np.float64)) for v in part["words"]], axis=0)
+        return pd.DataFrame({"label": part["label"].iloc[:1], "gains": [np.log2((mean + UNSEEN) * FEATURES).tobytes()]})
+
+    rows = learned.drop("x").groupBy("label").applyInPandas(shares, "label string, gains binary").collect()
+    gains = {r["label"]: np.frombuffer(r["gains"]) for r in rows}
+
+    def lowest(part: pd.DataFrame) -> pd.DataFrame:
+        known = part[part["label"].isin(gains)]
+        if len(known) < MIN_HELD:
+            return pd.DataFrame({"label": [], "low": []}).astype({"label": object, "low": float})
+        fits = Usual(gains, {}).fits(known["label"].tolist(), [np.frombuffer(v, dtype=np.float32) for v in known["words"]])
+        return pd.DataFrame({"label": known["label"].iloc[:1], "low": [float(np.quantile(fits, 0.01))]})
+
+    lows = {r["label"]: r["low"] for r in held.drop("x").groupBy("label").applyInPandas(lowest, "label string, low double").collect()}
+    least = {code: low - max(abs(low) / 2, 0.5) for code, low in lows.items()}
+    return Usual(gains, {code: least.get(code, min(least.values())) for code in gains} if least else {})
+
+
+def keeper(model: Model, usual: Usual):
+    """A column function: whether a text has a letter and fits the language predicted for it."""
+
+    @F.pandas_udf(BooleanType())
+    def keep(texts: pd.Series) -> pd.Series:
+        kept = np.zeros(len(texts), dtype=bool)
+        rows = [i for i, t in enumerate(texts) if has_letter(t)] if model.families else []
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            x = np.stack([features(texts.iloc[i]) for i in some])
+            kept[some] = usual.within(model.predict_vectors(x)[0], np.stack([words(texts.iloc[i]) for i in some]))
+        release()
+        return pd.Series(kept)
+
+    return keep
+
+
 PREDICTION = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 
 

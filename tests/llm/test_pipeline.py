@@ -43,3 +43,17 @@ def test_nulls_and_an_empty_table(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(folder))
         assert set(out.columns) >= {"doc_id", "n_tokens"}
         assert {r["doc_id"] for r in out.collect()} <= {2}
+
+
+def test_gibberish_and_unknown_languages_go(spark):
+    import random
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    draw = random.Random(5)
+    junk = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz     ", k=n)) for n in (60, 200, 1000) for _ in range(10)]
+    junk += ["Magyarország közép-európai ország a Kárpát-medencében, fővárosa Budapest.", "Русский язык является одним из восточнославянских языков"]
+    bad = spark.createDataFrame([(-1 - i, t, None, "junk", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = docs.where("text rlike '[a-z]{3}'")
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(bad.select(*docs.columns)), SMALL).cache()
+    assert kept.where("doc_id < 0").count() == 0
+    assert clean.exceptAll(kept).count() == 0
