@@ -12,11 +12,12 @@ kind, of nearly its length, are positive, parts of a run that a base rule took a
 are left out, all others are negative; signs that make a
 base rule fire (``+``, ``@``) are not features, so spans that look alike without
 them can be found. Candidates of ``SAMPLE_DOCS`` documents at most, chosen by a
-hash of the key, are learned from, ``PER_KIND`` of each kind, every kind in its own
-task; a third of them is held out, a logistic curve turns margins into
+hash of the key, are learned from, of each kind at most half of ``PER_KIND`` positive
+and as many negative ones, chosen by a hash of document and place, every kind in its
+own task; a third of the documents is held out, examples weigh as many candidates as they stand for, a logistic curve turns margins into
 probabilities there, and the threshold is the lowest with ``PRECISION`` on them. A
 kind with fewer than ``MIN_POSITIVE`` positive examples, or without negative ones,
-falls back on the checks alone: candidates that pass the kind's check are added.
+has no model, and nothing is added to its base spans. Added emails must have the form of one.
 
 NULL and empty texts have no spans; spans count code points of the whole text;
 time grows in proportion to its length. Repeated rows are scanned each, NULL keys
@@ -43,6 +44,8 @@ from ledgerloom.llm.common import query, table
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, PER_KIND, MIN_POSITIVE, PRECISION = 40_000, 4000, 20, 0.95
 TREES, DEPTH, RATE = 30, 3, 0.3
+#: Places that candidates are hashed to.
+PLACES = 1 << 40
 
 # The base rules' patterns. Equal to the plain ones, written so that no run of characters is tried
 # from each of its places: a match can only start where a run of digits starts, and an address is
@@ -53,6 +56,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+#: A local part, a sign for at, and a domain of at least two labels.
+_ADDRESS = re.compile(
+    r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]+(?:(?: ?\. ?| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9-]+)+"
+)
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -74,7 +81,9 @@ def passes(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15
+    if kind == "email":
+        return _ADDRESS.fullmatch(text) is not None
+    return 9 <= len(digits) <= 15
 
 
 def base_spans(text: str) -> list[Span]:
@@ -205,19 +214,23 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
     return Boosted(trees, bias)
 
 
-def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Fit the logistic curve by Newton steps and set the lowest threshold of the wanted precision."""
+def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, weight: np.ndarray, odds: float) -> Boosted:
+    """Fit the logistic curve by Newton steps and set the lowest threshold of the wanted precision.
+
+    An example stands for ``weight`` candidates; ``odds`` is the weight of a positive one over that of a negative one.
+    """
+    share, start = weight / weight.mean(), np.array([1.0, math.log(odds)])
     m = np.array([model.margin(r) for r in x])
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    design, coef = np.stack([m, np.ones(len(m))], axis=1), np.array([1.0, 0.0])
+    design, coef = np.stack([m, np.ones(len(m))], axis=1), start
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + 0.05 * np.eye(2)
-        coef = coef - np.linalg.solve(hess, design.T @ (p - target) + 0.05 * (coef - [1.0, 0.0]))
-    if coef[0] > 0:  # else the held-out examples say nothing about the order: margins stay as they are
-        model.slope, model.shift = float(coef[0]), float(coef[1])
+        hess = design.T @ (design * (share * p * (1 - p))[:, None]) + 0.05 * np.eye(2)
+        coef = coef - np.linalg.solve(hess, design.T @ (share * (p - target)) + 0.05 * (coef - start))
+    # a slope below zero: the held-out examples say nothing about the order, so margins only get the odds
+    model.slope, model.shift = map(float, coef if coef[0] > 0 else start)
     scores = np.array([model.probability(r) for r in x])
-    good = [t for t in np.unique(scores) if y[scores >= t].mean() >= PRECISION]
+    good = [t for t in np.unique(scores) if np.average(y[scores >= t], weights=weight[scores >= t]) >= PRECISION]
     model.threshold = max(0.5, float(min(good))) if good else 1.1
     return model
 
@@ -236,6 +249,12 @@ def _positive(span: Span, base: list[Span], swallowed: list[tuple[int, int]]) ->
     return float(any(k == kind and a <= start <= a + 4 and end <= b and end - start >= 0.7 * (b - a) for a, b, k in base))
 
 
+def _stands_for(places: np.ndarray) -> float:
+    """How many candidates one of the sample stands for: the last of k smallest places tells how densely places are taken."""
+    k = len(places)
+    return 1.0 if k < PER_KIND // 2 else max(1.0, (k - 1) / ((places.max() + 1) / PLACES) / k)
+
+
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
     """A model per kind that has examples enough. Runs jobs; the models come to the driver."""
     rows = df.where(ref(key).isNotNull() & ref(text).isNotNull()).select(F.xxhash64(ref(key), F.lit(11)).alias("spot"), ref(text).alias("text"))
@@ -250,25 +269,30 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, B
                 spans = candidates(text)
                 base, runs = (base_spans(text), _swallowed(text)) if spans else ([], [])
                 known = [(s, y) for s in spans if (y := _positive(s, base, runs)) is not None]
-                out += [(s[2], spot, s[0], y, features(text, s)) for s, y in known]
+                out += [(s[2], spot, s[0], s[1], y, features(text, s)) for s, y in known]
             if out:
-                yield pd.DataFrame(out, columns=["kind", "spot", "start", "y", "x"]).astype({"kind": object})
+                yield pd.DataFrame(out, columns=["kind", "spot", "start", "stop", "y", "x"]).astype({"kind": object})
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["spot", "start"])
+        part = part.sort_values(["spot", "start", "stop"])
         x, y = np.array(part["x"].tolist(), dtype=float), part["y"].to_numpy(dtype=float)
         if y.sum() < MIN_POSITIVE or (y == 0).sum() < MIN_POSITIVE:
             return pd.DataFrame({"kind": [], "model": []}, dtype=object)
+        each = {v: _stands_for(part.loc[part["y"] == v, "place"].to_numpy()) for v in (0.0, 1.0)}
+        weight = np.where(y > 0, each[1.0], each[0.0])
         out = part["spot"].to_numpy() % 3 == 0
         if min(y[out].sum(), (1 - y[out]).sum(), y[~out].sum(), (1 - y[~out]).sum()) < 3:
             out = np.zeros(len(y), dtype=bool)
         model = boost(x[~out], y[~out])
         seen = out if out.any() else ~out
-        return pd.DataFrame({"kind": [part["kind"].iloc[0]], "model": [pickle.dumps(calibrate(model, x[seen], y[seen]).__dict__)]})
-
-    rank = F.row_number().over(W.partitionBy("kind").orderBy("spot", "start"))
-    few = rows.mapInPandas(propose, "kind string, spot long, start int, y double, x array<double>").withColumn("rank", rank)
-    fitted = few.where(F.col("rank") <= PER_KIND).groupBy("kind").applyInPandas(train, "kind string, model binary").collect()
+        return pd.DataFrame({"kind": [part["kind"].iloc[0]], "model": [pickle.dumps(calibrate(model, x[seen], y[seen], weight[seen], each[1.0] / each[0.0]).__dict__)]})
+
+    # positive and negative ones apart, each candidate at a place of its own: neither one document nor a rare kind decides
+    place = F.pmod(F.xxhash64("spot", "start", "stop", F.lit(13)), F.lit(PLACES)).alias("place")
+    rank = F.row_number().over(W.partitionBy("kind", "y").orderBy("place", "spot", "start", "stop"))
+    seen = rows.mapInPandas(propose, "kind string, spot long, start int, stop int, y double, x array<double>").select("*", place)
+    few = seen.withColumn("rank", rank).where(F.col("rank") <= PER_KIND // 2)
+    fitted = few.groupBy("kind").applyInPandas(train, "kind string, model binary").collect()
     return {r["kind"]: Boosted(**pickle.loads(r["model"])) for r in fitted}
 
 
@@ -281,10 +305,9 @@ def find(text: str | None, models: dict[str, Boosted]) -> tuple[list[Span], list
         model = models.get(span[2])
         if any(span[0] < b and a < span[1] for a, b, _ in base):
             continue
-        if model is None:
-            if passes(span[2], text[span[0] : span[1]]):
-                scored.append((1.0, span))
-        elif (p := model.probability(features(text, span))) >= model.threshold:
+        if model is None or (span[2] == "email" and not passes("email", text[span[0] : span[1]])):
+            continue
+        if (p := model.probability(features(text, span))) >= model.threshold:
             scored.append((p, span))
     spans = list(base)
     added: list[Span] = []

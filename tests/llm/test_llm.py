@@ -500,3 +500,23 @@ def test_pii_rows(spark, odd, empty):
     df = spark.createDataFrame([(1, "mail a@b.cd or 1.2.3.4!"), (2, None)], "doc_id long, text string")
     got = [r[0] for r in df.select(pii.redactor({})("text")).collect()]
     assert got == ["mail [EMAIL] or [IP]!", None]
+
+
+def test_without_a_model_nothing_is_added():
+    text = "in 2020 2021 2022, e.g. 3.14 @ U.S.A, id 4000000000000002x +1 (222) 555-1234"
+    base, spans = pii.find(text, {})
+    assert spans == base != []
+    good = ["a.b@c.de", "a.b @ c.de", "ab (at) mail [dot] example.com", "ab at mail dot com"]
+    assert all(pii.passes("email", t) for t in good) and not any(pii.passes("email", t) for t in ("e.g", "U.S", "3.14", "a@b", "mail.example.com"))
+
+
+def test_a_full_document_and_a_rare_kind_do_not_decide(spark):
+    lows = spark.range(3000).orderBy(F.xxhash64("id", F.lit(11))).limit(1).collect()[0][0]
+    rng = random.Random(3)
+    digit = lambda k: "".join(rng.choices("0123456789", k=k))
+    texts = [f"call +1 ({digit(3)}) 555-{digit(4)} now" if i % 25 == 0 else f"ref {digit(7)} and {digit(8)}" for i in range(3000)]
+    texts[lows] = " x ".join(digit(8) for _ in range(6000))
+    models = pii.learn(docs(spark, texts))
+    assert "phone" in models
+    # negatives stand for more candidates than positives, so the probability of a plain run stays low
+    assert [s for t in texts[1:200:2] for s in pii.find(t, models)[1] if s[2] == "phone"] == [s for t in texts[1:200:2] for s in pii.base_spans(t) if s[2] == "phone"]
