@@ -363,6 +363,13 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_query_carries_null_ids(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "s"), (None, None, None), (5, "Released under the MIT License.", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in licenses.op7_license_scan(spark, str(tmp_path)).select("doc_id", "license", "via").collect()]
+    assert sorted(got, key=str) == [(5, "MIT", "own"), (None, None, "none"), (None, None, "none")]
+
+
 # 8 neighbours
 
 
