@@ -6,10 +6,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from ledgerloom.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES = entry.queries()
 
 
 @pytest.fixture(autouse=True)
