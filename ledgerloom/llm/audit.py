@@ -143,7 +143,9 @@ def examined(df: DataFrame, key: str, text: str, part: str) -> DataFrame:
     return rows.mapInArrow(run, f"part string, doc_id {dict(rows.dtypes)['doc_id']}, failed int, digest binary")
 
 
-def removals(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+def removals(
+    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source", range_size: int = RANGE
+) -> DataFrame:
     """part, before (set of filters as bits), filter (its bit), removed, good, toxic; every set and filter of every part.
 
     ``removed`` counts the documents that fail the filter and none of the set
@@ -151,7 +153,8 @@ def removals(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     narrow rows are staged in the shared folder.
     """
     rows = staged(examined(df, key, text, part))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Staged, so that both sides of the join are plain shuffles: AQE may then split a text with very many copies.
+    firsts = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     marks = (
         labels.where(ref(key).isNotNull())
         .groupBy(ref(key).alias("doc_id"))
@@ -193,11 +196,11 @@ def removals(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                     now, sums = parts[at].as_py(), np.zeros((len(STEPS), 3), dtype=np.int64)
                 # The rows of one part stand together.
                 end = at + bisect_left(range(at, len(parts)), True, key=lambda i: parts[i].as_py() != now)
-                end = min(end, at + RANGE - size)
+                end = min(end, at + range_size - size)
                 held.append([c[at:end] for c in columns])
                 size += end - at
                 at = end
-                if size == RANGE:
+                if size == range_size:
                     add()
         add()
         if now is not None:
@@ -215,7 +218,9 @@ def removals(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     )
 
 
-def audit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+def audit(
+    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source", range_size: int = RANGE
+) -> DataFrame:
     """One row per part, order of the filters and step: part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     ``shapley`` is the filter's ``removed`` summed over all orders. Runs a job.
@@ -233,7 +238,7 @@ def audit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     mine = W.partitionBy("part", "filter")
     alone = F.expr(f"before + shiftleft(1, filter) = {(1 << n) - 1}")
     along = W.partitionBy("part", "filter_order").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    cells = removals(df, labels, key, text, part).withColumn("_steps", steps)
+    cells = removals(df, labels, key, text, part, range_size).withColumn("_steps", steps)
     return (
         cells.withColumn("fails", F.max(F.when(F.col("before") == 0, F.col("removed"))).over(mine))
         .withColumn("unique_fails", F.max(F.when(alone, F.col("removed"))).over(mine))
