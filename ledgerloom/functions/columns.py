@@ -1,4 +1,4 @@
-"""Column references, fallbacks and exact sums."""
+"""Column references and fallbacks."""
 
 from __future__ import annotations
 
@@ -21,20 +21,6 @@ def col_or(df: DataFrame, name: str, default: Column | object = None) -> Column:
     return value.alias(name)
 
 
-#: Decimals that exact sums carry; values may have 30 digits before the point.
-SCALE = 8
-
-
-def exact_sum(amount: Column, scale: int = SCALE) -> Column:
-    """Sum of amounts to ``scale`` decimals, free of float drift.
-
-    Adding doubles gives a last digit that depends on how rows were split over
-    tasks. Decimal addition does not, so a retried or re-partitioned run returns
-    the same bits.
-    """
-    return F.sum(amount.cast(f"decimal(38,{scale})")).cast("double")
-
-
 def flag(condition: Column) -> Column:
     """True only where the condition holds; NULL counts as false."""
     return F.coalesce(condition, F.lit(False))

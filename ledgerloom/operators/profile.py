@@ -12,7 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import exact_sum, flag, ref
+from ledgerloom.functions.columns import flag, ref
+from ledgerloom.operators import measures as m
 from ledgerloom.operators.joins import align_groups
 from ledgerloom.operators.percentiles import exact_percentiles
 
@@ -41,13 +42,9 @@ def ownership_by(df: DataFrame, by: str, flags: Sequence[str]) -> DataFrame:
     )
 
 
-def segment_means(df: DataFrame, by: str, values: Mapping[str, str], scale: int = 2) -> DataFrame:
-    """Per segment: row count and the mean of each value (result name -> column)."""
-    means = [
-        F.try_divide(exact_sum(ref(c), scale), F.count(ref(c)).cast("double")).alias(name)
-        for name, c in values.items()
-    ]
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *means)
+def segment_means(df: DataFrame, by: str, values: Mapping[str, str]) -> DataFrame:
+    """Per segment: row count and the mean of each value (result name -> column), from exact sums."""
+    return m.rollup(df, [by], [m.count("n"), *[m.mean(name, ref(c)) for name, c in values.items()]])
 
 
 def top_segment(means: DataFrame, by: str, metric: str) -> DataFrame:
@@ -155,12 +152,17 @@ def table_stats(tables: Mapping[str, DataFrame], freshness: Mapping[str, str] |
 def portfolio_kpis(df: DataFrame, active: Column, balance: str, score: str, recommendation: str) -> DataFrame:
     """One row: active customers, total balance, mean score, per cent with an actionable recommendation."""
     real = ref(recommendation).isNotNull() & ~ref(recommendation).isin("PENDING", "NO_ACTION")
-    n = F.count(F.lit(1))
-    return df.where(active).agg(
-        n.alias("active_customers"),
-        F.coalesce(exact_sum(ref(balance)), F.lit(0.0)).alias("total_balance"),
-        F.coalesce(F.round(F.try_divide(F.sum(F.coalesce(ref(score).cast("long"), F.lit(0))), n)), F.lit(0.0)).alias("avg_score"),
-        F.coalesce(F.round(F.try_divide(F.count_if(real) * F.lit(100), n)), F.lit(0.0)).alias("pct_recommended"),
+    sums = m.rollup(
+        df.where(active),
+        [],
+        [m.count("active_customers"), m.total("total_balance", ref(balance)), m.total("score", ref(score).cast("long")), m.count("real", real)],
+    )
+    n = F.col("active_customers")
+    return sums.select(
+        n,
+        "total_balance",
+        F.coalesce(F.round(F.try_divide(F.col("score"), n)), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(F.round(F.try_divide(F.col("real") * F.lit(100), n)), F.lit(0.0)).alias("pct_recommended"),
     )
 
 
@@ -171,11 +173,7 @@ def daily_profile(df: DataFrame, at: str, keys: Sequence[str]) -> DataFrame:
 
 def latency_stats(df: DataFrame, by: Sequence[str], latency: str, failed: Column) -> DataFrame:
     """Per group: requests, errors, error per cent, mean and exact 95th percentile."""
-    base = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(flag(failed)).alias("errors"),
-        F.try_divide(exact_sum(ref(latency)), F.count(ref(latency)).cast("double")).alias("avg_latency"),
-    )
+    base = m.rollup(df, by, [m.count("requests"), m.count("errors", flag(failed)), m.mean("avg_latency", ref(latency))])
     p95 = exact_percentiles(df, by, latency, {"p95_latency": 0.95})
     return align_groups(base, p95, by).withColumn(
         "error_pct", F.col("errors") * F.lit(100.0) / F.col("requests")

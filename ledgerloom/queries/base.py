@@ -59,9 +59,10 @@ def sql_round(expression: str, digits: int, scale: int = 10) -> str:
     return f"CAST(round(CAST({expression} AS DECIMAL(38,{scale})), {digits}) AS DOUBLE)"
 
 
-def sql_sum(expression: str, scale: int = 8) -> str:
-    return f"CAST(sum(CAST({expression} AS DECIMAL(38,{scale}))) AS DOUBLE)"
+def sql_sum(expression: str) -> str:
+    """Plain compensated sum of doubles."""
+    return f"fsum(CAST({expression} AS DOUBLE))"
 
 
-def sql_mean(expression: str, scale: int = 8) -> str:
-    return f"({sql_sum(expression, scale)} / CAST(count({expression}) AS DOUBLE))"
+def sql_mean(expression: str) -> str:
+    return f"({sql_sum(expression)} / CAST(count({expression}) AS DOUBLE))"

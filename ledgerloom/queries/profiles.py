@@ -47,11 +47,13 @@ def q_ownership_by_segment(t: Tables) -> DataFrame:
     return profile.ownership_by(_owners(t), "c_mktsegment", list(_FLAGS))
 
 
-_SEGMENTS = f"SELECT c_mktsegment, count(*) AS n, {sql_mean('c_acctbal')} AS avg_balance, {sql_mean('CAST(c_nationkey AS DOUBLE)')} AS avg_nation FROM customer GROUP BY 1"
+_SEGMENTS = f"""SELECT c_mktsegment, count(*) AS n, {sql_mean('c_acctbal')} AS avg_balance, {sql_mean('CAST(c_nationkey AS DOUBLE)')} AS avg_nation,
+  {sql_mean('c_acctbal / 1e6::DOUBLE')} AS avg_share FROM customer GROUP BY 1"""
 
 
 def _segments(t: Tables) -> DataFrame:
-    return profile.segment_means(t.customer, "c_mktsegment", {"avg_balance": "c_acctbal", "avg_nation": "c_nationkey"})
+    rows = t.customer.withColumn("share", F.col("c_acctbal") / 1e6)
+    return profile.segment_means(rows, "c_mktsegment", {"avg_balance": "c_acctbal", "avg_nation": "c_nationkey", "avg_share": "share"})
 
 
 @query(_SEGMENTS)
@@ -287,14 +289,24 @@ def q_top_runs(t: Tables) -> DataFrame:
 
 @query(
     f"SELECT l_returnflag, {sql_round("sum(l_extendedprice * l_discount * l_tax)", 4)} AS tax_on_discount, "
-    f"{sql_round("avg(l_discount * l_tax * 0.01::DOUBLE)", 9, 14)} AS small_mean FROM lineitem GROUP BY 1"
+    f"{sql_round("avg(l_discount * l_tax * 0.01::DOUBLE)", 9, 14)} AS small_mean, "
+    f"{sql_round("sum(l_discount * 1e-9::DOUBLE) * 1e9::DOUBLE", 6)} AS tiny_total, "
+    "sum(CASE WHEN l_linenumber = 7 THEN 'Infinity'::DOUBLE ELSE l_tax END) AS unbounded, "
+    "CAST(isnan(sum(CASE WHEN l_linenumber = 6 THEN 'NaN'::DOUBLE ELSE l_tax END)) AS INTEGER) AS unknown FROM lineitem GROUP BY 1"
 )
 def q_small_amounts(t: Tables) -> DataFrame:
-    """Sums and means of values far below a cent."""
+    """Sums and means of values far below a cent, far below 1e-8, and not finite."""
     price, discount, tax = (F.col(c).cast("double") for c in ("l_extendedprice", "l_discount", "l_tax"))
     sums = measures.rollup(
         t.lineitem,
         ["l_returnflag"],
-        [measures.total("tax_on_discount", price * discount * tax), measures.mean("small_mean", discount * tax * 0.01)],
+        [
+            measures.total("tax_on_discount", price * discount * tax),
+            measures.mean("small_mean", discount * tax * 0.01),
+            measures.total("tiny_total", discount * 1e-9),
+            measures.total("unbounded", F.when(F.col("l_linenumber") == 7, float("inf")).otherwise(tax)),
+            measures.total("unknown", F.when(F.col("l_linenumber") == 6, float("nan")).otherwise(tax)),
+        ],
     )
-    return rounded(rounded(sums, 4, "tax_on_discount"), 9, "small_mean")
+    whole = sums.withColumns({"tiny_total": F.col("tiny_total") * 1e9, "unknown": F.isnan("unknown").cast("int")})
+    return rounded(rounded(rounded(whole, 4, "tax_on_discount"), 9, "small_mean"), 6, "tiny_total")

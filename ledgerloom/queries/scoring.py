@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import exact_sum
 from ledgerloom.functions.encoding import label_of, one_hot, top_two, uniform
-from ledgerloom.operators import joins, ranking
+from ledgerloom.operators import joins, measures, ranking
 from ledgerloom.plans import features as f
 from ledgerloom.plans.scoring import eval_log
 from ledgerloom.queries import adapters as a
@@ -61,7 +60,7 @@ FROM customer LEFT JOIN s ON c_custkey = s.id LEFT JOIN w ON c_custkey = w.id"""
 def q_feature_lookup(t: Tables) -> DataFrame:
     """First from open orders, else from large orders, else 0."""
     orders = t.orders.withColumnRenamed("o_custkey", "id")
-    build = lambda rows: rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_open"), exact_sum(F.col("o_totalprice")).alias("open_value"))
+    build = lambda rows: measures.rollup(rows, ["id"], [measures.count("n_open"), measures.total("open_value", F.col("o_totalprice"))])
     return joins.lookup_with_fallback(
         t.customer.select(F.col("c_custkey").alias("id")),
         build(orders.where(F.col("o_orderstatus") == "O")),
