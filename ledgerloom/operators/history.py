@@ -13,20 +13,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, DecimalType, IntegralType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 from ledgerloom.functions.columns import ref
+from ledgerloom.session import shared_dir
 
 START, END = "__START_AT", "__END_AT"
 Segment = Callable[[Column], Column]
 
 
-def segment_of(kind: DataType) -> Segment:
-    """Segments that bound both levels of ``following`` for any amount of rows.
+def segment_of(kind: DataType) -> Segment | None:
+    """Segments that bound both levels of ``following`` for any amount of rows; None where the type alone gives none.
 
     Points are distinct per key. A minute holds at most 60 million microseconds,
-    and a century 53 million minutes; a year holds 366 dates; a block of a
-    million holds a million whole numbers.
+    and a century 53 million minutes; a year holds 366 dates.
     """
     if isinstance(kind, TimestampType):
         return lambda seq: F.floor(F.unix_seconds(seq) / F.lit(60))
@@ -35,9 +35,7 @@ def segment_of(kind: DataType) -> Segment:
         return lambda seq: F.unix_date(F.to_date(seq)).cast("long") * 1440 + F.hour(seq) * 60 + F.minute(seq)
     if isinstance(kind, DateType):
         return lambda seq: F.year(seq)
-    if isinstance(kind, (IntegralType, DecimalType)):
-        return by_width(1_000_000)
-    raise ValueError(f"history: give a segment for sequences of type {kind.simpleString()}")
+    return None
 
 
 def by_width(width: int) -> Segment:
@@ -58,9 +56,13 @@ def following(df: DataFrame, keys: Sequence[str], seq: str, segment: Segment | N
     A plain ``lead`` over the key would sort a hot key in one task. Here each
     key is cut into segments of the sequence: ``lead`` runs inside a segment,
     and the last row of a segment takes the first value of the key's next
-    segment from a table that holds one row per (key, segment).
+    segment from a table that holds one row per (key, segment). Moments and
+    dates have segments by their type, other sequences (numbers, decimals,
+    texts) are cut where their rows are (see ``_following_by_ranges``).
     """
     segment = segment or segment_of(df.schema[seq].dataType)
+    if segment is None:
+        return _following_by_ranges(df, keys, seq)
     points = df.select(*[ref(k) for k in keys], ref(seq)).distinct().withColumn("_seg", segment(ref(seq)))
     inside = W.partitionBy(*[ref(k) for k in keys], "_seg").orderBy(ref(seq))
     across = W.partitionBy(*[ref(k) for k in keys]).orderBy("_seg")
@@ -77,6 +79,37 @@ def following(df: DataFrame, keys: Sequence[str], seq: str, segment: Segment | N
     )
 
 
+def _following_by_ranges(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """``following`` for sequences of any ordered type.
+
+    Points are range-partitioned over (keys, sequence), so a hot key is spread
+    over as many ranges as its rows need, whatever their values. ``lead`` runs
+    inside a range; the last point of a key in a range takes the key's first
+    point in the next one, from a table of the points at the two ends of each range.
+    The ranges are kept in the shared folder, so that both steps see the same
+    ones. Runs a job.
+    """
+    shared_dir(df.sparkSession)
+    own = [ref(k) for k in keys]
+    ranged = df.select(*own, ref(seq)).repartitionByRange(*own, ref(seq)).withColumn("_range", F.spark_partition_id())
+    points = ranged.groupBy("_range", *own, ref(seq)).agg(F.lit(True).alias("_seen"))
+    inside = W.partitionBy("_range").orderBy(*own, ref(seq))
+    after = F.lead(F.struct(*own, ref(seq).alias("_value"))).over(inside)
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col("_after")[k] == ref(k))
+    kept = (
+        points.withColumn("_after", after)
+        .withColumn("_first", F.lag(F.lit(True)).over(inside).isNull())
+        .select(*own, ref(seq), F.when(same, F.col("_after._value")).alias("_in"), (F.col("_first") | F.col("_after").isNull()).alias("_end"))
+        .checkpoint()
+    )
+    # At most two points of a range; of those of a key the next in order is the one that follows.
+    along = W.partitionBy(*own).orderBy(ref(seq))
+    ends = kept.where("_end").withColumn("_in", F.coalesce("_in", F.lead(ref(seq)).over(along)))
+    return kept.where("not _end").unionByName(ends).select(*own, ref(seq), F.col("_in").alias("_next"))
+
+
 def scd2(
     df: DataFrame,
     keys: Sequence[str],

@@ -34,6 +34,17 @@ def q_scd2_asof(t: Tables) -> DataFrame:
     return h.as_of(_history(t), F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
+@query(
+    """SELECT l_returnflag, place, l_quantity, l_linestatus, place AS __START_AT, lead(place) OVER (PARTITION BY l_returnflag ORDER BY place) AS __END_AT
+FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, place ORDER BY l_quantity DESC, l_linestatus DESC) AS rn FROM (
+  SELECT l_returnflag, l_orderkey * 1000 + l_linenumber AS place, l_quantity, l_linestatus FROM lineitem)) WHERE rn = 1"""
+)
+def q_scd2_numbers(t: Tables) -> DataFrame:
+    """A bigint sequence over three keys: every key is hot."""
+    place = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("place")
+    return h.scd2(t.lineitem.select("l_returnflag", place, "l_quantity", "l_linestatus"), ["l_returnflag"], "place", tie=["l_quantity", "l_linestatus"])
+
+
 @query(
     "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"
 )

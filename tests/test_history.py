@@ -76,8 +76,33 @@ def test_segments_by_type(spark):
     assert [b for _, b in got] == [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]
     big = spark.createDataFrame([(1, s) for s in (-3, 5, 999_999, 1_000_000, 5_000_000)], "id int, seq bigint")
     assert sorted(rows(h.following(big, ["id"], "seq"), "seq", "_next")) == [(-3, 5), (5, 999_999), (999_999, 1_000_000), (1_000_000, 5_000_000), (5_000_000, None)]
-    with pytest.raises(ValueError, match="segment"):
-        h.following(spark.createDataFrame([(1, "x")], "id int, s string"), ["id"], "s")
+    texts = spark.createDataFrame([(1, x) for x in ("b", "", "é", "a", "b")], "id int, s string")
+    assert rows(h.following(texts, ["id"], "s"), "s", "_next") == [("", "a"), ("a", "b"), ("b", "é"), ("é", None)]
+
+
+@pytest.mark.parametrize(
+    "expression",
+    ["1700000000000000 + id * 7919 * 1000003", "cast(id / 7000000.0 as decimal(20,6))", "cast(-id as double) / 3", "concat('k', lpad(id, 6, '0'))"],
+)
+def test_a_hot_key_of_any_sequence_is_spread(spark, expression):
+    """5,000 points of one key: many ranges, each a part of them, whatever the values."""
+    df = spark.range(5000).select(F.lit("hot").alias("id"), F.expr(expression).alias("seq"))
+    df = df.unionByName(df.where("rand(3) < 0.1")).unionByName(spark.range(40).select(F.concat(F.lit("k"), (F.col("id") % 9).cast("string")).alias("id"), F.expr(expression).alias("seq")))
+    data = sorted({tuple(r) for r in df.collect()})
+    want = [(k, s, data[i + 1][1] if i + 1 < len(data) and data[i + 1][0] == k else None) for i, (k, s) in enumerate(data)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = h.following(df.repartition(5), ["id"], "seq")
+        assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+        ranges = df.repartitionByRange("id", "seq").groupBy(F.spark_partition_id()).count()
+        assert ranges.count() >= 12 and max(r["count"] for r in ranges.collect()) < 1500
+        # Only the ends of the ranges meet by key.
+        assert out.where("id = 'hot'").count() == len({s for k, s in data if k == "hot"})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_wall_clock_sequence_in_a_zone_with_summer_time(spark):
