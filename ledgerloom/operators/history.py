@@ -43,7 +43,8 @@ def by_width(width: int) -> Segment:
     return lambda seq: F.floor(seq / F.lit(width))
 
 
-def _usable(keys: Sequence[str], seq: str) -> Column:
+def usable(keys: Sequence[str], seq: str) -> Column:
+    """Rows that have a place in a history."""
     ok = ref(seq).isNotNull()
     for k in keys:
         ok = ok & ref(k).isNotNull()
@@ -124,7 +125,7 @@ def scd2(
     The wide rows are shuffled once, on (keys, seq); ends are worked out on the
     key and sequence columns alone and joined back on that same partitioning.
     """
-    rows = df.where(_usable(keys, seq)).drop(*exclude)
+    rows = df.where(usable(keys, seq)).drop(*exclude)
     payload = [c for c in rows.columns if c not in (*keys, seq)]
     body = F.struct(*[ref(c) for c in payload]) if payload else F.struct(F.lit(1).alias("_none"))
     fingerprint = F.xxhash64(*[ref(c) for c in payload]) if payload else F.lit(0)
@@ -151,7 +152,7 @@ def scd2(
 
 
 def rejects(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    return df.where(~_usable(keys, seq))
+    return df.where(~usable(keys, seq))
 
 
 def current(history: DataFrame) -> DataFrame:

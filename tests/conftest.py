@@ -35,13 +35,20 @@ def table(spark, request):
 
     def make(suffix: str = "t") -> str:
         name = f"{request.node.name.split('[')[0]}_{suffix}".lower()
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_all(spark, name)
         names.append(name)
         return name
 
     yield make
     for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_all(spark, name)
+
+
+def drop_all(spark, prefix=""):
+    """Drop every table and view whose name begins so."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(prefix) and not t.isTemporary:
+            spark.sql(f"DROP {'VIEW' if t.tableType == 'VIEW' else 'TABLE'} IF EXISTS {t.name}")
 
 
 def rows(df, *columns):

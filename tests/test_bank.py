@@ -4,7 +4,7 @@ import datetime as dt
 
 import bank
 import pytest
-from conftest import rows
+from conftest import drop_all, rows
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import history as h
@@ -28,7 +28,7 @@ def house(spark, tmp_path_factory):
     yield lake
     names = {f.table for f in FEEDS.values()} | {v.silver for v in VERSIONED} | {f[1] for f in FACTS}
     for name in names | {"silver_digital_activity", "gold_customer_360", "customer_features"}:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_all(spark, name)
 
 
 def one(house, party: int) -> dict:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -137,17 +138,78 @@ def test_incremental_equals_batch(spark, table, tmp_path, seed):
     assert rows(scan(spark, name), *want.columns) == rows(want)
 
 
-def test_half_done_swap_is_repaired(spark, table, tmp_path):
+@pytest.mark.parametrize("broken", ["__closed", "__dead", "__open"])
+def test_half_applied_batches_are_repaired(spark, table, tmp_path, broken):
     name = table()
     writer = HistoryWriter(name, ["id"], "ts", buckets=2, staging=str(tmp_path / "stage"))
-    writer.write(frame(spark, [("a", at(0), "x", "s"), ("b", at(0), "x", "s")]), 0)
-    batch = frame(spark, [("a", at(5), "y", "s")])
-    swap, writer._swap = writer._swap, lambda versions: (_ for _ in ()).throw(RuntimeError("lost"))
+    writer.write(frame(spark, [("a", at(0), "x", "s"), ("a", at(9), "z", "s"), ("b", at(0), "x", "s")]), 0)
+    batch = frame(spark, [("a", at(5), "y", "s"), ("b", at(2), "w", "s")])
+    put = writer._put
+
+    def lost(rows, target, *mode):
+        if target.endswith(broken):
+            raise RuntimeError("lost")
+        put(rows, target, *mode)
+
+    writer._put = lost
     with pytest.raises(RuntimeError):
         writer.write(batch, 1)
-    writer._swap = swap
-    writer.write(batch, 1)
-    assert rows(scan(spark, name), "id", "v", h.END) == [("a", "x", at(5)), ("a", "y", None), ("b", "x", None)]
+    writer._put = put
+    for _ in range(2):
+        writer.write(batch, 1)
+        assert rows(scan(spark, name), "id", "v", h.END) == [("a", "x", at(5)), ("a", "y", at(9)), ("a", "z", None), ("b", "w", None), ("b", "x", at(2))]
+
+
+def files(spark, name):
+    return {f: os.path.getmtime(f.removeprefix("file:")) for f in scan(spark, name).inputFiles()}
+
+
+def test_a_batch_rewrites_no_closed_row(spark, table, tmp_path):
+    """A hundred keys on a history of many: late rows change what they must, files of closed versions stay."""
+    name = table()
+    writer = HistoryWriter(name, ["id"], "seq", buckets=8, staging=str(tmp_path / "stage"))
+    first = spark.range(200_000).select((F.col("id") % 5000).alias("id"), (F.col("id") * 10).alias("seq"), F.lit("v").alias("v"))
+    writer.write(first, 0)
+    closed = files(spark, f"{name}__closed")
+    in_order = spark.range(100).select("id", (F.lit(9_000_000) + F.col("id")).alias("seq"), F.lit("new").alias("v"))
+    scanned = writer._live
+    writer._live = lambda session: pytest.fail("closed versions were read")
+    writer.write(in_order, 1)
+    writer._live = scanned
+    late = spark.range(100).select("id", (F.col("id") * 10 + 5).alias("seq"), F.lit("late").alias("v"))
+    writer.write(late, 2)
+    after = files(spark, f"{name}__closed")
+    assert closed.items() <= after.items()
+    assert scan(spark, f"{name}__closed").where("_version > 1").count() == 100 + 200 and scan(spark, f"{name}__dead").count() == 100
+    want = h.scd2(first.unionByName(in_order).unionByName(late), ["id"], "seq")
+    got = scan(spark, name).select(*want.columns)
+    assert got.count() == want.count() == 200_200 and got.exceptAll(want).isEmpty()
+    writer.compact(spark)
+    assert scan(spark, f"{name}__dead").isEmpty() and scan(spark, name).select(*want.columns).exceptAll(want).isEmpty()
+    assert scan(spark, name).count() == 200_200
+    writer.write(late, 3)
+    assert scan(spark, name).count() == 200_200
+
+
+def test_compaction_that_died_is_finished(spark, table, tmp_path):
+    name = table()
+    writer = HistoryWriter(name, ["id"], "ts", tie=["src"], buckets=2, staging=str(tmp_path / "stage"))
+    writer.write(frame(spark, [("a", at(0), "x", "1"), ("a", at(9), "z", "1")]), 0)
+    writer.write(frame(spark, [("a", at(5), "y", "1"), ("a", at(0), "w", "2")]), 1)
+    put, writer._put = writer._put, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        writer.compact(spark)
+    writer._put = put
+    writer.write(frame(spark, [("a", at(12), "q", "1")]), 2)
+    assert rows(scan(spark, name), "v", h.END) == [("q", None), ("w", at(5)), ("y", at(9)), ("z", at(12))]
+
+
+def test_new_columns_reach_every_version(spark, table, tmp_path):
+    name = table()
+    writer = HistoryWriter(name, ["id"], "ts", buckets=2, staging=str(tmp_path / "stage"))
+    writer.write(frame(spark, [("a", at(0), "x", "s"), ("a", at(9), "z", "s"), ("c", at(1), "k", "s")]), 0)
+    writer.write(frame(spark, [("a", at(5), "y", "s"), ("b", at(1), "n", "s")]).withColumn("extra", F.lit(7)), 1)
+    assert rows(scan(spark, name), "id", "v", "extra", h.END) == [("a", "x", None, at(5)), ("a", "y", 7, at(9)), ("a", "z", None, None), ("b", "n", 7, None), ("c", "k", None, None)]
 
 
 def test_stream(spark, table, tmp_path):
