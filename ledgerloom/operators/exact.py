@@ -54,57 +54,75 @@ def with_digits(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns(digits).drop(*[n + s for n in names for s in ("w", "h", "l")])
 
 
-def _lead(line: Column, lowest: Column) -> Column:
-    """One pass of carries over digits, lowest first: the last carry, and the four leading digits of the rest.
+def _power(value: str, exponent: str) -> str:
+    """SQL of value * 2**exponent, in two steps so that the power stays a double."""
+    half = f"floor(({exponent}) / 2)"
+    return f"({value}) * pow(2.0D, {half}) * pow(2.0D, ({exponent}) - {half})"
 
-    ``high`` and ``low`` are two digits each, ``more`` tells of anything below, ``place`` is that of the first digit.
+
+def _settled(line: str) -> str:
+    """SQL of one pass of carries over digits, lowest first.
+
+    ``high`` and ``low`` are the last four digits, two each, ``more`` tells of
+    anything below, ``carry`` is what stands above.
     """
-    long, no = F.lit(0).cast("long"), F.lit(False)
-    window = lambda high, low, more, place: F.struct(high.alias("high"), low.alias("low"), more.alias("more"), place.alias("place"))
-    start = F.struct(
-        long.alias("carry"), lowest.alias("next"), window(long, long, no, lowest).alias("now"), window(long, long, no, lowest).alias("lead")
+    mask = _BASE - 1
+    start = "named_struct('carry', 0L, 'high', 0L, 'low', 0L, 'more', false)"
+    step = (
+        f"named_struct('carry', shiftright(a.carry + x, {BITS}), 'high', shiftright(a.high, {BITS}) + shiftleft((a.carry + x) & {mask}L, {BITS}), "
+        f"'low', shiftright(a.low, {BITS}) + shiftleft(a.high & {mask}L, {BITS}), 'more', a.more OR (a.low & {mask}L) != 0L)"
     )
+    return f"aggregate({line}, {start}, (a, x) -> {step})"
 
-    def step(acc: Column, x: Column) -> Column:
-        now, total = acc["now"], acc["carry"] + x
-        moved = window(
-            F.shiftright(now["high"], BITS) + F.shiftleft(total.bitwiseAND(_BASE - 1), BITS),
-            F.shiftright(now["low"], BITS) + F.shiftleft(now["high"].bitwiseAND(_BASE - 1), BITS),
-            now["more"] | (now["low"].bitwiseAND(_BASE - 1) != 0),
-            acc["next"],
-        )
-        lead = F.when(total.bitwiseAND(_BASE - 1) != 0, moved).otherwise(acc["lead"])
-        return F.struct(F.shiftright(total, BITS).alias("carry"), (acc["next"] + 1).alias("next"), moved.alias("now"), lead.alias("lead"))
-
-    return F.aggregate(line, start, step, lambda acc: F.struct(acc["carry"].alias("carry"), acc["lead"].alias("lead")))
-
-
-def nearest(places: Column) -> Column:
-    """The double nearest to the number with these places: array of (place int, digit long), each place once; NULL if there are none."""
-    finite = F.filter(places, lambda x: x["place"] < INFINITY)
-    count = lambda code: F.exists(places, lambda x: (x["place"] == code) & (x["digit"] > 0))
-    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (a value that is worked out once and used twice)
-
-    def rounded(lead: Column) -> Column:
-        # Both pairs are exact, anything below counts as half a unit: one addition rounds.
-        low = lead["low"].cast("double") + F.when(lead["more"], 0.5).otherwise(0.0)
-        return _times_power(lead["high"].cast("double") * float(1 << 2 * BITS) + low, (lead["place"] - 3) * BITS - _BELOW)
-
-    def signed(line: Column, lowest: Column) -> Column:
-        # A negative number ends in a negative carry: its opposite is settled instead.
-        opposite = F.transform(line, lambda x: -x)
-        return once(_lead(line, lowest), lambda r: F.when(r["carry"] < 0, -rounded(_lead(opposite, lowest)["lead"])).otherwise(rounded(r["lead"])))
-
-    def number(sorted_places: Column) -> Column:
-        lowest, highest = sorted_places[0]["place"], F.element_at(sorted_places, -1)["place"]
-        digit = F.map_from_entries(sorted_places)
-        # Carries go up by three places at most.
-        line = F.transform(F.sequence(lowest, highest + 3), lambda p: F.coalesce(F.element_at(digit, p), F.lit(0).cast("long")))
-        return once(line, lambda x: signed(x, lowest))
 
+def _rounded(r: str, top: str) -> str:
+    """SQL of the double nearest to a settled number whose last digit is at place ``top``.
+
+    Both summands are exact, anything below them counts as half a unit: one addition rounds.
+    """
+    half = lambda rest: f"IF({r}.more OR {rest}, 0.5D, 0.0D)"
+    two = lambda x, y, bits, rest: f"CAST({x} AS DOUBLE) * {float(1 << bits)!r}D + (CAST({y} AS DOUBLE) + {half(rest)})"
+    none = two(f"{r}.high", f"{r}.low", 44, "false")
+    wide = two(f"{r}.carry", f"{r}.high", 44, f"{r}.low != 0L")
+    # A carry of few bits: 33 + 11 bits of the high pair and 40 of the low one.
+    narrow = two(f"(shiftleft({r}.carry, 33) + shiftright({r}.high, 11))", f"(shiftleft({r}.high & 2047L, 40) + shiftright({r}.low, 4))", 51, f"({r}.low & 15L) != 0L")
+    lowest = f"(({top} - 3) * {BITS} - {_BELOW})"
     return (
-        F.when(count(NOT_A_NUMBER) | (count(INFINITY) & count(MINUS_INFINITY)), float("nan"))
-        .when(count(INFINITY), float("inf"))
-        .when(count(MINUS_INFINITY), float("-inf"))
-        .when(F.size(finite) > 0, once(F.array_sort(finite), number))
+        f"CASE WHEN {r}.carry = 0L THEN {_power(none, lowest)} WHEN {r}.carry >= {1 << 19}L THEN {_power(wide, f'{lowest} + 44')} "
+        f"ELSE {_power(narrow, f'{lowest} + 4')} END"
+    )
+
+
+def _once(value: str, name: str, use: str) -> str:
+    """SQL that works ``value`` out once and uses it under a name."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def _number(line: str, lowest: str, tag: str) -> str:
+    """SQL of the double nearest to digits, lowest first, whose sum isn't negative."""
+    r, d, t, n = (f"{x}{tag}" for x in "rdtn")
+    usual = _rounded(r, f"({lowest} + size({line}) - 1)")
+    # The leading digits cancelled out: settle what is left without them.
+    carried = f"named_struct('c', shiftright(a.c + x, {BITS}), 'out', concat(a.out, array((a.c + x) & {_BASE - 1}L)))"
+    digits = f"aggregate({line}, named_struct('c', 0L, 'out', cast(array() AS array<bigint>)), (a, x) -> {carried}).out"
+    used = f"array_max(transform({d}, (x, i) -> IF(x != 0L, i + 1, 0)))"
+    again = _once(_settled(f"slice({d}, 1, {n})"), t, _rounded(t, f"({lowest} + {n} - 1)"))
+    left = _once(digits, d, _once(used, n, f"IF({n} = 0, 0.0D, {again})"))
+    return _once(_settled(line), r, f"IF({r}.carry != 0L OR {r}.high >= {_BASE}L, {usual}, {left})")
+
+
+def nearest(places: str) -> Column:
+    """The double nearest to the number in the named column: array of (place int, digit long), each place once; NULL if there are none."""
+    has = lambda code: f"exists({places}, x -> x.place = {code} AND x.digit > 0L)"
+    dense = "transform(s, x -> x.digit)"
+    gaps = "transform(sequence(s[0].place, s[size(s) - 1].place), p -> coalesce(map_from_entries(s)[p], 0L))"
+    line = f"IF(size(s) = s[size(s) - 1].place - s[0].place + 1, {dense}, {gaps})"
+    # A negative number ends in a negative carry: its opposite is settled instead.
+    opposite = _once("transform(l, x -> -x)", "m", _number("m", "s[0].place", "2"))
+    signed = f"IF(aggregate(l, 0L, (a, x) -> shiftright(a + x, {BITS})) < 0L, -{opposite}, {_number('l', 's[0].place', '1')})"
+    finite = f"array_sort(filter({places}, x -> x.place < {INFINITY}))"
+    return F.expr(
+        f"CASE WHEN {has(NOT_A_NUMBER)} OR ({has(INFINITY)} AND {has(MINUS_INFINITY)}) THEN double('NaN') "
+        f"WHEN {has(INFINITY)} THEN double('Infinity') WHEN {has(MINUS_INFINITY)} THEN double('-Infinity') "
+        f"WHEN size({places}) > 0 THEN {_once(finite, 's', _once(line, 'l', signed))} END"
     )

@@ -107,7 +107,7 @@ class _Partials:
         found = df
         if self.binned:
             found = self._settled(df, keys)
-        done = {n: F.col(n).cast("double") for n, _, _ in self.parts} | {n: exact.nearest(F.col(n)) for n, _ in self.binned}
+        done = {n: F.col(n).cast("double") for n, _, _ in self.parts} | {n: exact.nearest(n) for n, _ in self.binned}
         finished = []
         for k, m in enumerate(self.measures):
             sums = [done[f"_{k}_{i}v"] for i in range(len(m.values))]

@@ -90,14 +90,17 @@ def test_arrange(odd):
         choose.arrange(odd, [], mode="other")
 
 
-def test_percentiles_of_infinities_and_nan(spark):
+@pytest.mark.parametrize("bound", [1, 1_000_000])
+def test_percentiles_of_infinities_and_nan(spark, bound):
     inf, nan = float("inf"), float("nan")
-    df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, inf, nan)] + [("b", inf), ("c", -1.7e308), ("c", 1.7e308)], "g string, v double")
-    out = {r["g"]: tuple(r)[1:] for r in exact_percentiles(df, ["g"], "v", {"lo": 0.0, "mid": 0.5, "p75": 0.75}).collect()}
+    df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, inf, nan)] + [("b", inf), ("c", -1.7e308), ("c", 1.7e308), ("d", nan), ("d", nan), ("d", nan)], "g string, v double")
+    out = {r["g"]: tuple(r)[1:] for r in exact_percentiles(df, ["g"], "v", {"lo": 0.0, "mid": 0.5, "p75": 0.75}, bound=bound).collect()}
+    assert all(math.isnan(x) for x in out["d"])
     assert out["a"] == (-inf, 2.0, inf) and out["b"] == (inf, inf, inf) and out["c"][0] == -1.7e308
 
 
-def test_percentiles_match_numpy(spark):
+@pytest.mark.parametrize("bound", [20, 1_000_000])
+def test_percentiles_match_numpy(spark, bound):
     """A hot group, heavy ties, outliers, a NULL group, NULL values."""
     rng = random.Random(5)
     data = [("hot", round(rng.gauss(0, 50), 2)) for _ in range(4000)]
@@ -105,7 +108,7 @@ def test_percentiles_match_numpy(spark):
     data += [("tail", 10.0 ** rng.randrange(12)) for _ in range(300)] + [(None, float(i)) for i in range(10)] + [("hot", None)]
     df = spark.createDataFrame(data, "g string, v double")
     wanted = {"low": 0.0, "p05": 0.05, "mid": 0.5, "p95": 0.95, "top": 1.0}
-    out = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", wanted, slices=64).collect()}
+    out = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", wanted, bound=bound, pivots=8).collect()}
     for g in {d[0] for d in data}:
         values = [v for k, v in data if k == g and v is not None]
         for name, p in wanted.items():
@@ -114,6 +117,25 @@ def test_percentiles_match_numpy(spark):
     assert everything == np.quantile([v for _, v in data if v is not None], 0.5)
 
 
+def test_an_outlier_leaves_no_large_part(spark, monkeypatch):
+    """20,000 epoch seconds and a zero: pivots lie where the rows are."""
+    df = spark.range(20_000).select((F.lit(1.7e9) + F.col("id")).alias("v")).unionByName(spark.createDataFrame([(0.0,)], "v double"))
+    parts = []
+    kept = percentiles._placed
+    monkeypatch.setattr(percentiles, "_placed", lambda rows, state, uncut: parts.append(state.select(F.inline("_parts"))) or kept(rows, state, uncut))
+    got = exact_percentiles(df, [], "v", {"q1": 0.25, "mid": 0.5, "p95": 0.95}, bound=500).first()
+    values = [0.0, *(1.7e9 + i for i in range(20_000))]
+    assert tuple(got) == tuple(np.quantile(values, [0.25, 0.5, 0.95]))
+    assert max(r["n"] for r in parts[-1].collect()) <= 500 and len(parts) <= 4
+
+
+def test_medians_read_the_input_once_a_pass(spark, tmp_path):
+    spark.range(100).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(1, 9)]).write.parquet(str(tmp_path / "t"))
+    out = profile.medians(spark.read.parquet(str(tmp_path / "t")), [f"c{k}" for k in range(1, 9)])
+    assert {r["column_name"]: r["median"] for r in out.collect()} == {f"c{k}": 49.5 * k for k in range(1, 9)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_percentiles_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("v"))
     small = rows(exact_percentiles(df, ["g"], "v", {"m": 0.5}))
