@@ -5,10 +5,10 @@ A rule passes only when its predicate is true; NULL is a failure.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import flag
@@ -73,9 +73,18 @@ class RuleSet:
             F.count_if(~r.passes).alias(f"_f{i}") for i, r in enumerate(self.rules)
         ]
 
+    def _dropped(self) -> Column:
+        return F.count_if(~flag(self._keeps())).alias("_dropped")
+
     def metrics(self, df: DataFrame) -> DataFrame:
         """rule, action, passed, failed, failed_pct; one scan for all rules."""
-        one = df.agg(*self._counts())
+        return self._report(df.agg(*self._counts()))
+
+    def observed(self, spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+        """The same from counts that ``observe`` brought."""
+        return self._report(spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()]))
+
+    def _report(self, one: DataFrame) -> DataFrame:
         entries = F.array(
             *[
                 F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.col(f"_f{i}").alias("failed"))
@@ -91,8 +100,8 @@ class RuleSet:
         )
 
     def observe(self, df: DataFrame, observation: Observation | str) -> DataFrame:
-        """Attach the counts to a run without a second pass."""
-        return df.observe(observation, *self._counts())
+        """Attach the counts, and that of the rows ``apply`` removes, to a run without a second pass."""
+        return df.observe(observation, *self._counts(), self._dropped())
 
     def enforce(self, df: DataFrame) -> None:
         """Runs one aggregate; raises when a fail rule is broken."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,15 @@ from ledgerloom.sources.queries import scan, scan_stream, table_exists
 from ledgerloom.sources.rescue import RESCUED
 from ledgerloom.streaming import ingest
 from ledgerloom.streaming.history import HistoryWriter, scd2_stream
+from ledgerloom.streaming.rules import apply_rules
+from ledgerloom.streaming.supervise import Supervisor
 
-#: Fact tables: bronze source, silver target, builder.
-FACTS: tuple[tuple[str, str, Callable[[DataFrame], DataFrame]], ...] = (
-    ("bronze_core_banking_txn", "silver_transactions", silver.transactions),
-    ("bronze_cards_txn", "silver_card_transactions", silver.card_transactions),
-    ("bronze_credit_bureau", "silver_kyc_compliance", silver.kyc_compliance),
-)
+#: Counts of every rule and micro-batch, of all tables with rules.
+METRICS = "silver_rule_metrics"
+
+
+def quarantine_of(table: str) -> str:
+    return f"{table}_quarantine"
 
 
 @dataclass
@@ -44,18 +47,38 @@ class Lakehouse:
         for q in queries:
             q.awaitTermination()
 
-    def bronze(self) -> None:
-        """Drain every feed folder that exists. Folders of one feed run one after the other."""
+    def _feeds(self, trigger: dict | None = None) -> dict[str, list[Callable[[], StreamingQuery]]]:
+        """Per bronze table, how to start a stream for each of its folders that exists."""
+        found: dict[str, list[Callable[[], StreamingQuery]]] = {}
         for feed in FEEDS.values():
+            begin = ingest.ingest_csv if feed.fmt == "csv" else ingest.ingest_json
             for folder in feed.folders:
                 path = f"{self.landing}/{folder}"
-                if not tables.exists(self.spark, path):
-                    continue
-                start = ingest.ingest_csv if feed.fmt == "csv" else ingest.ingest_json
-                start(self.spark, feed, path, f"{self.work}/bronze/{folder}").awaitTermination()
+                if tables.exists(self.spark, path):
+                    run = partial(begin, self.spark, feed, path, f"{self.work}/bronze/{folder}", trigger=trigger)
+                    found.setdefault(feed.table, []).append(run)
+        return found
+
+    def bronze(self) -> None:
+        """Drain every feed folder that exists: tables at once, folders of one table one after the other."""
+        waiting = list(self._feeds().values())
+        while waiting:
+            self._wait([folders.pop(0)() for folders in waiting])
+            waiting = [folders for folders in waiting if folders]
+
+    def live(self, every: str = "30 seconds", restarts: int = 3) -> Supervisor:
+        """Every feed folder as a stream of its own, all at once, restarted when it fails; ``stop`` ends them.
+
+        Backlogs are best drained by ``bronze`` before: a live stream takes few files at a time.
+        """
+        feeds = self._feeds({"processingTime": every})
+        return Supervisor({f"{t}-{i}": run for t, runs in feeds.items() for i, run in enumerate(runs)}, restarts).start()
 
     def silver(self) -> None:
-        """Versions of the masters, checked facts, unified digital activity; all at once."""
+        """Versions of the masters, checked facts, unified digital activity; all at once.
+
+        Rows that fail a drop rule go to the table's quarantine, counts of every rule to ``silver_rule_metrics``.
+        """
         spark, running = self.spark, []
         for spec in silver.VERSIONED:
             if table_exists(spark, spec.bronze):
@@ -68,16 +91,17 @@ class Lakehouse:
                     buckets=self.buckets,
                 )
                 running.append(scd2_stream(scan_stream(spark, spec.bronze), writer, f"{self.work}/{spec.silver}"))
-        for source, target, build in FACTS:
-            if table_exists(spark, source):
-                checkpoint = f"{self.work}/{target}"
-                each = ingest.append_once(target, checkpoint, build)
-                running.append(ingest.start(scan_stream(spark, source), checkpoint, each))
+        checked = [(scan_stream(spark, c.bronze), c.silver, c.rules) for c in silver.FACTS if table_exists(spark, c.bronze)]
         if table_exists(spark, "bronze_digital_events") and table_exists(spark, "bronze_telco_events"):
-            both = silver.digital_activity(
-                scan_stream(spark, "bronze_digital_events"), scan_stream(spark, "bronze_telco_events")
-            )
-            running.append(ingest.append_stream(both, "silver_digital_activity", f"{self.work}/silver_digital_activity"))
+            both = silver.digital_signals(scan_stream(spark, "bronze_digital_events"), scan_stream(spark, "bronze_telco_events"))
+            checked.append((both, "silver_digital_activity", silver.DIGITAL_RULES))
+        if checked and not table_exists(spark, METRICS):
+            # Made before the streams start, since all of them write to it.
+            layout = "table_name string, batch_id bigint, rule string, action string, passed bigint, failed bigint, failed_pct double"
+            tables.create_empty(spark, METRICS, f"{layout}, {ingest.BATCH} string", partition_by=[ingest.BATCH])
+        for stream, target, rules in checked:
+            stamped = stream if "_silver_timestamp" in stream.columns else silver.stamped(stream)
+            running.append(apply_rules(stamped, rules, target, f"{self.work}/{target}", quarantine_of(target), METRICS, annotate=True))
         self._wait(running)
 
     def gold(self, as_of: dt.date | None = None) -> DataFrame:

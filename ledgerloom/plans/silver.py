@@ -98,6 +98,22 @@ def versions(bronze: DataFrame, spec: Versioned) -> DataFrame:
     return history.scd2(bronze, spec.keys, spec.sequence, tie=tie, exclude=skip)
 
 
+@dataclass(frozen=True)
+class Checked:
+    """A fact table and the rules its rows must pass."""
+
+    bronze: str
+    silver: str
+    rules: RuleSet
+
+
+FACTS = (
+    Checked("bronze_core_banking_txn", "silver_transactions", TRANSACTION_RULES),
+    Checked("bronze_cards_txn", "silver_card_transactions", CARD_RULES),
+    Checked("bronze_credit_bureau", "silver_kyc_compliance", KYC_RULES),
+)
+
+
 def transactions(bronze: DataFrame) -> DataFrame:
     return TRANSACTION_RULES.apply(stamped(bronze), annotate=True)
 
@@ -110,9 +126,12 @@ def kyc_compliance(bronze: DataFrame) -> DataFrame:
     return KYC_RULES.apply(stamped(bronze), annotate=True)
 
 
-def digital_activity(digital: DataFrame, telco: DataFrame) -> DataFrame:
-    """App events and telco signals in one table; works on batches and streams."""
+def digital_signals(digital: DataFrame, telco: DataFrame) -> DataFrame:
+    """App events and telco signals in one table, unchecked; works on batches and streams."""
     telco = telco.withColumn("event_type", F.lit(None).cast("string"))
-    both = union_tagged({"digital_banking": digital, "telco": telco})
-    return DIGITAL_RULES.apply(stamped(both), annotate=True)
+    return stamped(union_tagged({"digital_banking": digital, "telco": telco}))
+
+
+def digital_activity(digital: DataFrame, telco: DataFrame) -> DataFrame:
+    return DIGITAL_RULES.apply(digital_signals(digital, telco), annotate=True)
 

@@ -135,8 +135,11 @@ class Feed:
     ddl: str
     fmt: str
     table: str
+    #: Files per micro-batch of a live stream.
     max_files: int = 1000
     multi_line: bool = False
+    #: Files per micro-batch when a backlog is drained.
+    drain_files: int = 1000
     #: Folders below the landing root; several versions may feed one table.
     folders: tuple[str, ...] = ()
 

@@ -14,6 +14,10 @@ from ledgerloom.session import shared_dir
 from ledgerloom.sources.queries import scan
 
 
+#: Partition column of tables that ``merge_buckets`` writes.
+KEY_BUCKET = "_key_bucket"
+
+
 def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the table, schema included."""
     writer = df.write.mode("overwrite")
@@ -22,16 +26,17 @@ def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> No
     writer.saveAsTable(table)
 
 
-def create_empty(spark: SparkSession, table: str, ddl: str, comment: str | None = None) -> None:
+def create_empty(spark: SparkSession, table: str, ddl: str, comment: str | None = None, partition_by: Sequence[str] = ()) -> None:
+    parts = f" PARTITIONED BY ({', '.join(quoted(c) for c in partition_by)})" if partition_by else ""
     tail = "" if comment is None else " COMMENT '" + comment.replace("'", "\\'") + "'"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet{tail}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet{parts}{tail}")
 
 
-def create_like(df: DataFrame, table: str) -> None:
-    """Create the table with the frame's columns when it does not exist."""
+def create_like(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
+    """Create the table with the frame's columns when it does not exist; nothing of the frame is run."""
     if not df.sparkSession.catalog.tableExists(table):
         cols = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
-        create_empty(df.sparkSession, table, cols)
+        create_empty(df.sparkSession, table, cols, partition_by=partition_by)
 
 
 def evolve(spark: SparkSession, table: str, incoming: StructType) -> list[str]:
@@ -50,15 +55,77 @@ def append(df: DataFrame, table: str, evolving: bool = True) -> None:
     create_like(df, table)
     if evolving:
         evolve(spark, table, df.schema)
-    target = scan(spark, table).schema
+    aligned(df, scan(spark, table).schema).write.mode("append").insertInto(table)
+
+
+def aligned(df: DataFrame, target: StructType) -> DataFrame:
+    """The columns of a table in its order, matched without regard to letter case; those the frame lacks are NULL."""
     have = {c.lower(): c for c in df.columns}
-    aligned = df.select(
+    return df.select(
         *[
-            (ref(have[f.name.lower()]).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name)
+            (ref(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target.fields
         ]
     )
-    aligned.write.mode("append").insertInto(table)
+
+
+def put_partitions(df: DataFrame, table: str, by: str, evolving: bool = True) -> None:
+    """Overwrite the partitions that the rows name; the table is created partitioned by that column if it is absent."""
+    spark = df.sparkSession
+    create_like(df, table, [by])
+    if evolving:
+        evolve(spark, table, df.schema)
+    rows = aligned(df, scan(spark, table).schema)
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def location(spark: SparkSession, table: str) -> str:
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+    return found["data_type"]
+
+
+def has_partition(spark: SparkSession, table: str, by: str, value: str) -> bool:
+    """Is the partition there? Looks at its folder only. One that its writer died before registering is registered."""
+    if not spark.catalog.tableExists(table) or not exists(spark, f"{location(spark, table)}/{by}={value}"):
+        return False
+    if not [r for r in spark.sql(f"SHOW PARTITIONS {table}").collect() if r[0] == f"{by}={value}"]:
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return True
+
+
+def merge_buckets(df: DataFrame, table: str, keys: Sequence[str], buckets: int = 256) -> None:
+    """Upsert into a table partitioned by a hash of its keys; only buckets with a source row are read and written.
+
+    The new content of those buckets is staged in the shared folder and then swapped in; a
+    merge that died while swapping is completed by the next one. The number of buckets is
+    fixed when the table is created. One merge per table at a time.
+    """
+    if not keys:
+        raise ValueError("merge: keys are required")
+    spark = df.sparkSession
+    staged = f"{shared_dir(spark)}/merge-{table.replace('.', '-').replace('`', '')}"
+    if spark.catalog.tableExists(table):
+        if exists(spark, f"{staged}/_SUCCESS"):
+            put_partitions(spark.read.parquet(staged).hint("rebalance", KEY_BUCKET), table, KEY_BUCKET)
+            remove(spark, staged)
+        buckets = int(spark.sql(f"SHOW TBLPROPERTIES {table} ('key_buckets')").first()["value"])
+    else:
+        create_like(df.withColumn(KEY_BUCKET, F.lit(0)), table, [KEY_BUCKET])
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('key_buckets'='{buckets}')")
+    evolve(spark, table, df.schema)
+    number = F.pmod(F.xxhash64(*[ref(k) for k in keys]), F.lit(buckets)).cast("int")
+    source = df.withColumn(KEY_BUCKET, number)
+    # At most ``buckets`` numbers; they prune the partitions to read.
+    touched = [r[0] for r in source.select(KEY_BUCKET).distinct().collect()]
+    known = scan(spark, table).where(F.col(KEY_BUCKET).isin(touched))
+    upsert(known, aligned(source, known.schema), keys).write.mode("overwrite").parquet(staged)
+    put_partitions(spark.read.parquet(staged).hint("rebalance", KEY_BUCKET), table, KEY_BUCKET)
+    remove(spark, staged)
 
 
 def merge(df: DataFrame, table: str, keys: Sequence[str]) -> None:

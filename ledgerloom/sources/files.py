@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.schemas import Feed
-from ledgerloom.sources.rescue import RESCUED, json_fields, rescue_columns, rescue_map
+from ledgerloom.sources.rescue import RESCUED, infer_schema, json_fields, rescue_columns, rescue_map
 
 MALFORMED = "_malformed"
 FILE_COLUMNS = ("_source_file", "_ingest_timestamp")
@@ -51,9 +51,16 @@ def _stamped(df: DataFrame) -> DataFrame:
 
 
 def _spelled(header: tuple[str, ...], schema: StructType) -> tuple[str, ...]:
-    """Header names in the schema's spelling where they differ in letter case only."""
+    """Header names in the schema's spelling where they differ in letter case only; a name that is there before gets its position."""
     known = {n.lower(): n for n in schema.fieldNames()}
-    return tuple(known[h.lower()] if h.lower() in known and known[h.lower()] not in header else h for h in header)
+    names = [known[h.lower()] if h.lower() in known and known[h.lower()] not in header else h for h in header]
+    out: list[str] = []
+    for i, name in enumerate(names):
+        # The schema's own spelling keeps the name, else the first one.
+        twins = [j for j, n in enumerate(names) if n.lower() == name.lower()]
+        keeper = next((j for j in twins if names[j] == known.get(name.lower())), twins[0])
+        out.append(name if i == keeper else f"{name}_{i + 1}")
+    return tuple(out)
 
 
 def read_csv_files(spark: SparkSession, paths: Iterable[str], schema: StructType, multi_line: bool = False) -> DataFrame:
@@ -88,7 +95,7 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
 
 def read_json_text(lines: DataFrame, schema: StructType, multi_line: bool = False) -> DataFrame:
     """Rescued rows from text lines (or whole documents holding one object or an array)."""
-    stamped = _stamped(lines)
+    stamped = lines if set(FILE_COLUMNS) <= set(lines.columns) else _stamped(lines)
     if multi_line:
         body = F.trim(F.col("value"))
         listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
@@ -109,11 +116,15 @@ def read_feed(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
     return read_json_text(lines, feed.schema, feed.multi_line)
 
 
+def stream_json_lines(spark: SparkSession, feed: Feed, folder: str, max_files: int | None = None) -> DataFrame:
+    """Streaming text of a JSON feed with its file columns, throttled by files per micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files or feed.max_files)
+    return _stamped(reader.text(folder, wholetext=feed.multi_line))
+
+
 def stream_json(spark: SparkSession, feed: Feed, folder: str) -> DataFrame:
     """Streaming rows of a JSON feed, throttled by files per micro-batch."""
-    reader = spark.readStream.option("maxFilesPerTrigger", feed.max_files)
-    lines = reader.text(folder, wholetext=feed.multi_line)
-    return read_json_text(lines, feed.schema, feed.multi_line)
+    return read_json_text(stream_json_lines(spark, feed, folder), feed.schema, feed.multi_line)
 
 
 def stream_file_names(spark: SparkSession, folder: str, glob: str, max_files: int) -> DataFrame:
@@ -133,6 +144,22 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
+def read_csv_inferred_rescued(spark: SparkSession, paths: Iterable[str], tolerance: float = 0.01, multi_line: bool = False) -> DataFrame:
+    """Rescued read of CSV files whose types follow from all their rows (see ``infer_schema``).
+
+    Columns are those of all headers, in the order they are met first. Runs a job
+    that reads the files once; the result reads them again.
+    """
+    listed = list(paths)
+    names: dict[str, str] = {}
+    for path in listed:
+        for name in next(csv.reader([_first_line(spark, path)]), []):
+            names.setdefault(name.lower(), name)
+    text = StructType([StructField(n, StringType()) for n in names.values()])
+    schema = infer_schema(read_csv_files(spark, listed, text, multi_line), text.fieldNames(), tolerance)
+    return read_csv_files(spark, listed, schema, multi_line)
+
+
 def read_documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """path, modificationTime, length, content of matching files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)

@@ -6,9 +6,11 @@ A value that cannot be cast becomes NULL and its raw text goes to
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from ledgerloom.functions.columns import ref
 
@@ -28,6 +30,38 @@ def _cast(text: Column, schema_type: DataType) -> tuple[Column, Column]:
     return value, text.isNotNull() & value.isNull()
 
 
+#: Types from narrow to wide; a value that fits one fits all that list it.
+LATTICE = ("boolean", "int", "bigint", "double", "date", "timestamp")
+
+
+def infer_schema(df: DataFrame, columns: Sequence[str], tolerance: float = 0.0) -> StructType:
+    """Types of text columns from all their rows, by one aggregation.
+
+    Every type counts the values that fit it; counts of parts add up, so files and
+    tasks may be merged in any order. A column gets the narrowest type that all
+    but a share of ``tolerance`` of its values fit, else text; blanks fit all. A column
+    of numbers is a ``double`` only if some value needs it. Runs a job.
+    """
+    counts = []
+    for i, name in enumerate(columns):
+        text = _blank_as_null(ref(name))
+        counts.append(F.count(text).alias(f"_{i}"))
+        # A moment is no date, and 10d is no number, though both can be cast.
+        plain = {"date": ~text.rlike("[ T]"), "double": ~text.rlike("[dDfF]$")}
+        counts += [F.count(F.when(plain.get(kind, F.lit(True)), text.try_cast(kind))).alias(f"_{i}_{kind}") for kind in LATTICE]
+    row = df.agg(*counts).first()
+    fields = []
+    for i, name in enumerate(columns):
+        n = row[f"_{i}"]
+        fits = [k for k in LATTICE if n and n - row[f"_{i}_{k}"] <= tolerance * n]
+        # 0 and 1 are numbers, not flags; of types that miss few values the one that misses fewest.
+        if "boolean" in fits and "int" in fits:
+            fits.remove("boolean")
+        best = max(fits, key=lambda k: (row[f"_{i}_{k}"], -LATTICE.index(k)), default="string")
+        fields.append(StructField(name, DataType.fromDDL(best)))
+    return StructType(fields)
+
+
 def rescue_columns(df: DataFrame, schema: StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """For all-text frames (CSV). Columns in ``keep`` pass through untouched."""
     typed, doubtful = [], []

@@ -167,18 +167,8 @@ class HistoryWriter:
         # Splits large buckets over tasks and packs small ones together.
         self._put(spark.read.parquet(f"{stage}/open").select("*", self._bucket()).hint("rebalance", BUCKET), self.open)
 
-    def _put(self, rows: DataFrame, table: str, mode: str = "dynamic") -> None:
-        """Overwrite the partitions that ``rows`` name, or all of them (``static``)."""
-        spark = rows.sparkSession
-        target = scan(spark, table).schema
-        have = set(rows.columns)
-        columns = [(ref(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields]
-        old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-        try:
-            rows.select(*columns).write.mode("overwrite").insertInto(table)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    def _put(self, rows: DataFrame, table: str) -> None:
+        tables.put_partitions(rows, table, BUCKET if table == self.open else VERSION, evolving=False)
 
     def compact(self, spark: SparkSession) -> None:
         """Rewrite the closed versions without the dead ones, as one write; afterwards nothing is dead."""
@@ -192,7 +182,9 @@ class HistoryWriter:
         if not tables.exists(spark, f"{folder}/_SUCCESS"):
             return
         # Dead rows have smaller numbers than the rewritten ones, so they mean nothing from here on.
-        self._put(spark.read.parquet(folder), self.closed, "static")
+        live = spark.read.parquet(folder)
+        spark.sql(f"TRUNCATE TABLE {self.closed}")
+        self._put(live, self.closed)
         spark.sql(f"TRUNCATE TABLE {self.dead}")
         tables.remove(spark, folder)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import history as h
 from ledgerloom.plans import features, gold, serving
-from ledgerloom.plans.lakehouse import FACTS, Lakehouse
+from ledgerloom.plans.lakehouse import METRICS, Lakehouse, quarantine_of
+from ledgerloom.plans.silver import FACTS
 from ledgerloom.plans.silver import VERSIONED
 from ledgerloom.schemas import FEATURES, FEEDS
 from ledgerloom.sources.queries import scan
@@ -26,8 +27,8 @@ def house(spark, tmp_path_factory):
         lake.silver()
     lake.gold(dt.date.fromisoformat(bank.AS_OF))
     yield lake
-    names = {f.table for f in FEEDS.values()} | {v.silver for v in VERSIONED} | {f[1] for f in FACTS}
-    for name in names | {"silver_digital_activity", "gold_customer_360", "customer_features"}:
+    names = {f.table for f in FEEDS.values()} | {v.silver for v in VERSIONED} | {f.silver for f in FACTS}
+    for name in names | {METRICS, "silver_digital_activity", "gold_customer_360", "customer_features"}:
         drop_all(spark, name)
 
 
@@ -57,6 +58,35 @@ def test_silver_history_and_facts(house):
     assert activity.where("source = 'telco' AND event_type IS NOT NULL").count() == 0
 
 
+def test_dropped_rows_are_in_quarantine_and_every_run_is_counted(house):
+    lost = scan(house.spark, quarantine_of("silver_transactions"))
+    assert rows(lost, "payment_transaction_id", "payment_amount", "_dq_failed") == [("T7", -9.0, ["positive_amount"]), (None, 9.0, ["valid_txn_id"])]
+    assert rows(scan(house.spark, quarantine_of("silver_digital_activity")), "event_id", "_dq_failed") == [("E6", ["valid_party_digital"])]
+    counts = scan(house.spark, METRICS)
+    mine = rows(counts.where("table_name = 'silver_transactions' and batch_id = 0"), "rule", "action", "passed", "failed")
+    assert ("positive_amount", "drop", 7, 1) in mine and ("valid_currency", "warn", 7, 1) in mine and len(mine) == 8
+    assert {r["table_name"] for r in counts.select("table_name").distinct().collect()} == {f.silver for f in FACTS} | {"silver_digital_activity"}
+    assert counts.groupBy("table_name", "batch_id", "rule").count().where("count > 1").isEmpty()
+
+
+def test_live_feeds_run_at_once(house, tmp_path):
+    """Three JSON feeds as streams of their own; a backlog takes few files at a time."""
+    from ledgerloom.streaming.ingest import _throttle
+
+    bank._json(tmp_path / "telco_events", "x.json", [{"event_id": "S9", "party_id": "P00000001"}])
+    bank._json(tmp_path / "digital_events", "x.json", [{"event_id": "E9", "party_id": "P00000001", "brand_new": "1"}])
+    bank._json(tmp_path / "credit_bureau", "x.json", [{"cif_number": "CIF9"}])
+    before = {f: scan(house.spark, FEEDS[f].table).count() for f in ("telco_events", "digital_events", "credit_bureau")}
+    watched = Lakehouse(house.spark, str(tmp_path), str(tmp_path / "work")).live("1 second")
+    assert len(watched.queries) == 3 and all(q.isActive for q in watched.queries.values())
+    watched.process_all()
+    assert watched.check() == []
+    watched.stop()
+    assert all(scan(house.spark, FEEDS[f].table).count() == n + 1 for f, n in before.items())
+    assert rows(scan(house.spark, "bronze_digital_events").where("brand_new is not null"), "event_id") == [("E9",)]
+    assert (_throttle(FEEDS["digital_events"], {"processingTime": "1 second"}), _throttle(FEEDS["digital_events"], None)) == (1, 1000)
+
+
 def test_gold_columns_and_rows(house):
     df = scan(house.spark, "gold_customer_360")
     assert rows(df, "party_id") == [("P00000001",), ("P00000002",), ("P00000004",)]

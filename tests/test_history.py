@@ -146,10 +146,10 @@ def test_half_applied_batches_are_repaired(spark, table, tmp_path, broken):
     batch = frame(spark, [("a", at(5), "y", "s"), ("b", at(2), "w", "s")])
     put = writer._put
 
-    def lost(rows, target, *mode):
+    def lost(rows, target):
         if target.endswith(broken):
             raise RuntimeError("lost")
-        put(rows, target, *mode)
+        put(rows, target)
 
     writer._put = lost
     with pytest.raises(RuntimeError):

@@ -3,6 +3,7 @@ from __future__ import annotations
 from ledgerloom.sources.files import read_csv_files
 
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -83,8 +84,11 @@ def test_json_lines_and_documents(spark, table, tmp_path):
     feed = Feed("j", FEED.ddl, "json", "j", max_files=1)
     name = table("lines")
     ingest.ingest_json(spark, feed, str(tmp_path / "l"), str(tmp_path / "cp1"), name).awaitTermination()
-    got = rows(scan(spark, name), "id", "amount", "_rescued_data")
-    assert got == [("1", 2.5, None), ("2", None, '{"amount":"many","extra":"{\\"a\\":1}"}'), (None, None, '{"_malformed":"not json"}')]
+    got = rows(scan(spark, name), "id", "amount", "extra", "_rescued_data")
+    assert got == [("1", 2.5, None, None), ("2", None, '{"a":1}', '{"amount":"many"}'), (None, None, None, '{"_malformed":"not json"}')]
+    fixed = table("fixed")
+    ingest.ingest_json(spark, feed, str(tmp_path / "l"), str(tmp_path / "cp3"), fixed, widen=False).awaitTermination()
+    assert rows(scan(spark, fixed), "id", "_rescued_data")[1] == ("2", '{"amount":"many","extra":"{\\"a\\":1}"}')
 
     docs = Feed("d", FEED.ddl, "json", "d", multi_line=True)
     put(tmp_path / "m", "one.json", json.dumps(lines[0], indent=2))
@@ -100,7 +104,7 @@ def test_throttle_splits_batches(spark, table, tmp_path):
     name = table()
     for i in range(3):
         put(tmp_path / "in", f"{i}.csv", f"id,amount\nx{i},1\n")
-    ingest.ingest_csv(spark, Feed("t", FEED.ddl, "csv", "t", max_files=1), str(tmp_path / "in"), str(tmp_path / "cp"), name).awaitTermination()
+    ingest.ingest_csv(spark, Feed("t", FEED.ddl, "csv", "t", max_files=1, drain_files=1), str(tmp_path / "in"), str(tmp_path / "cp"), name).awaitTermination()
     assert scan(spark, name).select("_batch").distinct().count() == 3
 
 
@@ -212,3 +216,119 @@ def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "q.csv").write_text('id,note\n1,"a\nb"\n')
     got = read_csv_files(spark, [str(tmp_path / "q.csv")], StructType.fromDDL("id int, note string"), multi_line=True).collect()
     assert [(r["id"], r["note"]) for r in got] == [(1, "a\nb")]
+
+
+def test_json_fields_become_columns(spark, table, tmp_path):
+    """Version 1 and version 2 documents in one table; restarts lose and repeat nothing."""
+    name, landing, cp = table(), tmp_path / "in", str(tmp_path / "cp")
+    feed = Feed("j", "id string, amount double", "json", "j", max_files=1, drain_files=1)
+    run = lambda: ingest.ingest_json(spark, feed, str(landing), cp, name).awaitTermination()
+    put(landing, "v1.json", "\n".join(json.dumps({"id": f"a{i}", "amount": 1.0}) for i in range(5)))
+    run()
+    put(landing, "v2.json", "\n".join(json.dumps({"id": f"b{i}", "amount": 2.0, "Channel": "app", "channel": None, "score": i}) for i in range(3)))
+    put(landing, "v3.json", json.dumps({"id": "c0", "CHANNEL": "web", "amount": "x"}))
+    run()
+    run()
+    got = {r["id"]: r for r in scan(spark, name).collect()}
+    assert len(got) == scan(spark, name).count() == 9
+    column = next(c for c in scan(spark, name).columns if c.lower() == "channel")
+    assert [got[i][column] for i in ("a0", "b0", "c0")] == [None, "app", "web"]
+    assert got["b2"]["score"] == "2" and got["a1"]["score"] is None and got["c0"]["_rescued_data"] == '{"amount":"x"}'
+
+
+def test_quoted_line_breaks_on_a_stream(spark, table, tmp_path):
+    name = table()
+    put(tmp_path / "in", "q.csv", 'id,amount\n"a\nb",1.5\nc,2.5\n')
+    feed = Feed("t", "id string, amount double", "csv", "t", multi_line=True)
+    ingest.ingest_csv(spark, feed, str(tmp_path / "in"), str(tmp_path / "cp"), name).awaitTermination()
+    assert rows(scan(spark, name), "id", "amount") == [("a\nb", 1.5), ("c", 2.5)]
+
+
+def test_headers_that_differ_in_case_do_not_stop_the_feed(spark, table, tmp_path):
+    name = table()
+    put(tmp_path / "in", "a.csv", "id,extra\n1,x\n")
+    put(tmp_path / "in", "b.csv", "id,EXTRA\n2,y\n")
+    put(tmp_path / "in", "c.csv", "ID,id,Extra,eXtra\n3,4,z,w\n")
+    ingest.ingest_csv(spark, FEED, str(tmp_path / "in"), str(tmp_path / "cp"), name).awaitTermination()
+    df = scan(spark, name)
+    column = [c for c in df.columns if c.lower() == "extra"]
+    got = {r["id"]: r for r in df.collect()}
+    assert len(column) == 1 and {i: r[column[0]] for i, r in got.items()} == {"1": "x", "2": "y", "4": "z"}
+    assert "3" in str(got["4"]) and "w" in str(got["4"])
+
+
+def test_a_replay_reads_no_target_row(spark, table, tmp_path, monkeypatch):
+    """A batch whose partition is there is skipped by its folder alone; a half-written one is written again."""
+    name = table()
+    batch = spark.createDataFrame([(1,), (2,)], "v int")
+    assert ingest.append_once(name, "cp", lambda df: df)(batch, 7)
+    monkeypatch.setattr(tables, "scan", lambda *a: pytest.fail("the target was read"))
+    assert not ingest.append_once(name, "cp", lambda df: df)(batch, 7)
+    monkeypatch.undo()
+    assert ingest.append_once(name, "cp", lambda df: df)(batch, 8)
+    where = tables.location(spark, name)
+    mark = sorted(r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect())[-1]
+    tables.remove(spark, f"{where}/{mark}")
+    assert ingest.append_once(name, "cp", lambda df: df)(batch, 8)
+    assert rows(scan(spark, name), "v") == [(1,), (1,), (2,), (2,)]
+
+
+def test_rules_read_a_batch_once(spark, table, tmp_path):
+    """Counts come with the write of the kept rows; a replay after a crash between the outputs completes them."""
+    src, out, bad, counts = (table(s) for s in ("src", "out", "bad", "counts"))
+    tables.append(spark.createDataFrame([("a", 1.0), (None, 2.0), ("c", -1.0), (None, -3.0)], "id string, amount double"), src)
+    rule_set = quality.RuleSet([quality.Rule("id", quality.not_null("id"), "drop"), quality.Rule("amt", quality.positive("amount"))])
+    run = lambda cp: rules.apply_rules(scan_stream(spark, src), rule_set, out, str(tmp_path / cp), bad, counts, annotate=True).awaitTermination()
+    run("cp")
+    want = [("amt", "warn", 2, 2, 50.0), ("id", "drop", 2, 2, 50.0)]
+    assert rows(scan(spark, counts), "rule", "action", "passed", "failed", "failed_pct") == want
+    assert rows(scan(spark, bad), "amount", "_dq_failed") == [(-3.0, ["id"]), (2.0, ["id"])]
+    assert rows(scan(spark, out), "id", "_dq_failed") == [("a", []), ("c", ["amt"])]
+    for lost in (bad, counts):
+        spark.sql(f"DROP TABLE {lost}")
+    (tmp_path / "cp" / "commits" / "0").unlink()
+    (tmp_path / "cp" / "commits" / ".0.crc").unlink(missing_ok=True)
+    run("cp")
+    assert scan(spark, out).count() == 2 and scan(spark, bad).count() == 2
+    assert rows(scan(spark, counts), "rule", "action", "passed", "failed", "failed_pct") == want
+
+
+def test_types_follow_all_rows_and_misfits_are_rescued(spark, tmp_path):
+    lines = [f"{i},{i * 0.5},2024-01-{i % 28 + 1:02},2024-01-01 10:00:0{i % 10},{'true' if i % 2 else 'false'},x{i},{i % 2},{10 + i}d" for i in range(999)]
+    lines.append("many,bad,never,,maybe,,7,")
+    path = put(tmp_path, "x.csv", "n,d,day,at,ok,name,bit,code\n" + "\n".join(lines) + "\n")
+    df = files.read_csv_inferred_rescued(spark, [path])
+    kinds = dict(df.dtypes)
+    assert [kinds[c] for c in ("n", "d", "day", "at", "ok", "name", "bit", "code")] == ["int", "double", "date", "timestamp", "boolean", "string", "int", "string"]
+    assert df.count() == 1000 and df.where("n is null").count() == 1
+    assert json.loads(df.where("_rescued_data is not null").first()["_rescued_data"]) == {"n": "many", "d": "bad", "day": "never", "ok": "maybe"}
+    strict = dict(files.read_csv_inferred_rescued(spark, [path], tolerance=0.0).dtypes)
+    assert (strict["n"], strict["bit"], strict["at"]) == ("string", "int", "timestamp")
+
+
+def test_a_supervisor_restarts_what_fails(spark, table, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from ledgerloom.streaming.supervise import Supervisor
+
+    src = table("src")
+    tables.append(spark.createDataFrame([(1,)], "v int"), src)
+    failures = iter([True, False])
+
+    def each(batch, batch_id):
+        if next(failures, False):
+            raise RuntimeError("lost")
+
+    good = lambda: ingest.start(scan_stream(spark, src), str(tmp_path / "good"), each, {"processingTime": "1 second"})
+    bad = lambda: ingest.start(scan_stream(spark, src), str(tmp_path / "bad"), lambda b, i: 1 / 0, {"processingTime": "1 second"})
+    watched = Supervisor({"good": good}).start()
+    while watched.queries["good"].isActive:
+        time.sleep(0.2)
+    assert watched.check() == ["good"]
+    watched.process_all()
+    assert watched.queries["good"].isActive and watched.check() == []
+    watched.stop()
+    hopeless = Supervisor({"bad": bad}, restarts=1).start()
+    with pytest.raises(StreamingQueryException):
+        hopeless.watch(60, 0.2)
+    hopeless.stop()

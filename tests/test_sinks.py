@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import glob
+import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from ledgerloom.schemas import INFERENCE_LOG
 from ledgerloom.sinks import export, tables
@@ -86,3 +88,33 @@ def test_single_file_export(spark, tmp_path):
         export.single_file(df, str(tmp_path / "x"), "excel")
     export.single_file(df, str(tmp_path / "j"), "json", append=True)
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_an_upsert_rewrites_only_its_buckets(spark, table):
+    name = table()
+    first = spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    tables.merge_buckets(first, name, ["k"], buckets=16)
+    files = lambda: {f: os.path.getmtime(f.removeprefix("file:")) for f in scan(spark, name).inputFiles()}
+    before = files()
+    tables.merge_buckets(spark.createDataFrame([(5, "new", 1.5)], "k long, v string, extra double"), name, ["k"])
+    after = files()
+    assert len(before) == 16 and len(before.items() & after.items()) == 15
+    got = {r["k"]: (r["v"], r["extra"]) for r in scan(spark, name).collect()}
+    assert len(got) == 1000 and got[5] == ("new", 1.5) and got[6] == ("old", None)
+    tables.merge_buckets(spark.createDataFrame([(2000, "added")], "k long, v string"), name, ["k"])
+    assert scan(spark, name).count() == 1001
+    with pytest.raises(ValueError):
+        tables.merge_buckets(first, name, [])
+
+
+def test_a_bucket_upsert_that_died_is_completed(spark, table, monkeypatch):
+    name = table()
+    tables.merge_buckets(spark.range(50).select(F.col("id").alias("k"), F.lit("old").alias("v")), name, ["k"], buckets=4)
+    put = tables.put_partitions
+    monkeypatch.setattr(tables, "put_partitions", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        tables.merge_buckets(spark.createDataFrame([(1, "first")], "k long, v string"), name, ["k"])
+    monkeypatch.setattr(tables, "put_partitions", put)
+    tables.merge_buckets(spark.createDataFrame([(2, "second")], "k long, v string"), name, ["k"])
+    got = {r["k"]: r["v"] for r in scan(spark, name).collect()}
+    assert len(got) == 50 and (got[1], got[2], got[3]) == ("first", "second", "old")
