@@ -240,12 +240,17 @@ def usual(learned: DataFrame, held: DataFrame) -> Usual:
 
 
 def keeper(model: Model, usual: Usual):
-    """A column function: whether a text has a letter and fits the language predicted for it."""
+    """A column function: whether a text has a letter and fits the language predicted for it.
+
+    If nothing was learned (no row has a label), every text with a letter is kept.
+    """
 
     @F.pandas_udf(BooleanType())
     def keep(texts: pd.Series) -> pd.Series:
         kept = np.zeros(len(texts), dtype=bool)
-        rows = [i for i, t in enumerate(texts) if has_letter(t)] if model.families else []
+        rows = [i for i, t in enumerate(texts) if has_letter(t)]
+        if not model.families:
+            kept[rows], rows = True, []
         for at in range(0, len(rows), 256):
             some = rows[at : at + 256]
             x = np.stack([features(texts.iloc[i]) for i in some])

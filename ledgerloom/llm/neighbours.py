@@ -17,7 +17,8 @@ share is never gathered.
 
 Vectors that are NULL, empty, zero or hold NULL or non-finite components, and
 rows without id, take no part; only vectors of equal length are compared;
-repeated rows count once; with fewer than ``k`` candidates all are returned; an
+repeated rows count once, of different vectors under one id the smallest
+(component by component) stands for it; with fewer than ``k`` candidates all are returned; an
 empty table gives an empty result.
 """
 
@@ -120,7 +121,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     ``queries`` is a condition on the column ``id``. Runs jobs: rows are staged.
     """
     rows = df.select(ref(key).cast("bigint").alias("id"), ref(vector).cast("array<double>").alias("vector"))
-    rows = staged(rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct())
+    rows = staged(rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector")))
     copy = F.row_number().over(W.partitionBy("vector").orderBy("id"))
     index = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
     asked = rows.where(queries)

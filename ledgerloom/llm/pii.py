@@ -29,7 +29,9 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -241,12 +243,34 @@ def _swallowed(text: str) -> list[tuple[int, int]]:
     return [m.span() for kind, pattern in runs for m in pattern.finditer(text) if not passes(kind, m[0])]
 
 
-def _positive(span: Span, base: list[Span], swallowed: list[tuple[int, int]]) -> float | None:
-    """1 or 0; None for a part of a swallowed run, of which the base rules say nothing."""
-    start, end, kind = span
-    if any(a <= start and end <= b and b - a > end - start for a, b in swallowed):
-        return None
-    return float(any(k == kind and a <= start <= a + 4 and end <= b and end - start >= 0.7 * (b - a) for a, b, k in base))
+class Reach:
+    """Spans in the order of their starts, and how far those reach that start so far; each question is one bisection."""
+
+    def __init__(self, spans: Iterable[tuple]):
+        ordered = sorted((s[0], s[1]) for s in spans)
+        self.starts, self.ends = [a for a, _ in ordered], [b for _, b in ordered]
+        self.furthest = list(accumulate(self.ends, max))
+
+    def before(self, place: int) -> int:
+        """Furthest end of the spans that start before that place."""
+        i = bisect_left(self.starts, place)
+        return self.furthest[i - 1] if i else -1
+
+    def near(self, place: int, back: int) -> Iterator[tuple[int, int]]:
+        """Spans that start at that place or up to ``back`` before it."""
+        for i in range(bisect_left(self.starts, place - back), bisect_left(self.starts, place + 1)):
+            yield self.starts[i], self.ends[i]
+
+
+def _labelled(spans: list[Span], base: list[Span], swallowed: list[tuple[int, int]]) -> Iterator[tuple[Span, float]]:
+    """Candidates with 1 or 0; a part of a swallowed run is left out, since the base rules say nothing of it."""
+    runs, known = Reach(swallowed), {k: Reach(s for s in base if s[2] == k) for k in KINDS}
+    for span in spans:
+        start, end, kind = span
+        # inside a longer run: one that starts earlier and reaches the end, or one from here that goes on
+        if runs.before(start) >= end or runs.before(start + 1) > end:
+            continue
+        yield span, float(any(end <= b and end - start >= 0.7 * (b - a) for a, b in known[kind].near(start, 4)))
 
 
 def _stands_for(places: np.ndarray) -> float:
@@ -255,12 +279,17 @@ def _stands_for(places: np.ndarray) -> float:
     return 1.0 if k < PER_KIND // 2 else max(1.0, (k - 1) / ((places.max() + 1) / PLACES) / k)
 
 
+def sampled(spot: Column, total: int) -> Column:
+    """True for about ``SAMPLE_DOCS`` of ``total`` hashes, up to 4e16 of them."""
+    return F.pmod(spot, F.lit(1 << 40)) < F.lit(max(1, (SAMPLE_DOCS << 40) // total))
+
+
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
     """A model per kind that has examples enough. Runs jobs; the models come to the driver."""
     rows = df.where(ref(key).isNotNull() & ref(text).isNotNull()).select(F.xxhash64(ref(key), F.lit(11)).alias("spot"), ref(text).alias("text"))
     total = max(1, df.count())
     if total > SAMPLE_DOCS:
-        rows = rows.where(F.pmod("spot", F.lit(1 << 20)) < F.lit((SAMPLE_DOCS << 20) // total))
+        rows = rows.where(sampled(F.col("spot"), total))
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,8 +297,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, B
             for spot, text in zip(batch["spot"], batch["text"]):
                 spans = candidates(text)
                 base, runs = (base_spans(text), _swallowed(text)) if spans else ([], [])
-                known = [(s, y) for s in spans if (y := _positive(s, base, runs)) is not None]
-                out += [(s[2], spot, s[0], s[1], y, features(text, s)) for s, y in known]
+                out += [(s[2], spot, s[0], s[1], y, features(text, s)) for s, y in _labelled(spans, base, runs)]
             if out:
                 yield pd.DataFrame(out, columns=["kind", "spot", "start", "stop", "y", "x"]).astype({"kind": object})
 
@@ -300,20 +328,21 @@ def find(text: str | None, models: dict[str, Boosted]) -> tuple[list[Span], list
     """Base spans, and all spans: base ones and added candidates."""
     text = text or ""
     base = base_spans(text)
-    scored = []
+    scored, taken = [], Reach(base)
     for span in candidates(text):
         model = models.get(span[2])
-        if any(span[0] < b and a < span[1] for a, b, _ in base):
+        if taken.before(span[1]) > span[0]:
             continue
         if model is None or (span[2] == "email" and not passes("email", text[span[0] : span[1]])):
             continue
         if (p := model.probability(features(text, span))) >= model.threshold:
             scored.append((p, span))
     spans = list(base)
-    added: list[Span] = []
+    added: list[Span] = []  # by start; they don't overlap
     for _, span in sorted(scored, key=lambda s: (-s[0], s[1][0] - s[1][1], s[1])):
-        if not any(span[0] < b and a < span[1] for a, b, _ in added):
-            added.append(span)
+        i = bisect_left(added, (span[1],))
+        if not i or added[i - 1][1] <= span[0]:
+            added.insert(i, span)
     return base, sorted(spans + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

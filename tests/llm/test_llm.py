@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,13 @@ def test_languages_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[None]["lang_pred"] == "en"
 
 
+def test_an_unlabelled_corpus_keeps_its_documents(spark):
+    df = docs(spark, ["the cat", "123", None, "", "été"]).withColumn("lang", F.lit(None).cast("string"))
+    learned = language.sampled(df, F.lit(True))
+    keep = language.keeper(language.train(learned), language.usual(learned, language.sampled(df, F.lit(True))))
+    assert sorted(r["text"] for r in df.where(keep(F.col("text"))).collect()) == ["the cat", "été"]
+
+
 def test_languages_without_labels_or_with_one(spark, empty):
     assert language.identify(empty, language.fit(empty, language.fold() != 2)).count() == 0
     df = spark.createDataFrame([(0, "abc", "tlh"), (1, "abd", "tlh"), (2, "xyz", None)], "doc_id long, text string, lang string")
@@ -471,6 +479,49 @@ def test_long_runs_take_linear_time():
         pii.find(text, {})
 
 
+@given(
+    st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9), st.sampled_from(pii.KINDS)).map(lambda s: (s[0], s[0] + s[1], s[2])), max_size=15),
+    st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12)).map(lambda s: (s[0], s[0] + s[1])), max_size=8),
+    st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9), st.sampled_from(pii.KINDS)).map(lambda s: (s[0], s[0] + s[1], s[2])), max_size=15),
+)
+@settings(max_examples=300, deadline=None)
+def test_labels_of_candidates_equal_the_plain_rule(spans, swallowed, base):
+    want = []
+    for start, end, kind in spans:
+        if not any(a <= start and end <= b and b - a > end - start for a, b in swallowed):
+            hit = any(k == kind and a <= start <= a + 4 and end <= b and end - start >= 0.7 * (b - a) for a, b, k in base)
+            want.append(((start, end, kind), float(hit)))
+    assert list(pii._labelled(spans, base, swallowed)) == want
+    reach = pii.Reach(base)
+    for start, end, _ in spans:
+        assert (reach.before(end) > start) == any(start < b and a < end for a, b, _ in base)
+
+
+def test_two_million_characters_of_numbers(spark):
+    """Finding and learning both stay within seconds."""
+    models = pii.learn(docs(spark, pii_docs(1500)))
+    for unit in ("10.1.2.3 ", "+1 (222) 555-1234 ", "2020 2021 2022 "):
+        text = unit * (2_000_000 // len(unit))
+        started = time.monotonic()
+        base, spans = pii.find(text, models)
+        assert time.monotonic() - started < 30 and len(spans) >= len(base)
+    text = "10.1.2.3 4000000000000002 " * 75_000
+    started = time.monotonic()
+    assert len(list(pii._labelled(pii.candidates(text), pii.base_spans(text), pii._swallowed(text)))) > 0
+    assert time.monotonic() - started < 30
+    redacted = docs(spark, [text]).select(pii.redactor(models)("text")).first()[0]
+    assert redacted.count("[IP]") == 75_000
+
+
+def test_the_sample_never_becomes_empty(spark):
+    spots = spark.range(200_000).select(F.xxhash64("id").alias("spot"))
+    for total in (50_000, 400_000, 4_000_000):
+        share = spots.where(pii.sampled(F.col("spot"), total)).count() / 200_000
+        assert abs(share - min(1, pii.SAMPLE_DOCS / total)) < 0.02
+    limit = pii.SAMPLE_DOCS * 2**40 / 10**11
+    assert 495 <= spark.range(1000).where(pii.sampled(F.col("id") * F.lit(int(limit / 500)), 10**11)).count() <= 505
+
+
 def pii_docs(n):
     rng = random.Random(6)
     digit = lambda k: "".join(rng.choices("0123456789", k=k))
@@ -527,3 +578,12 @@ def test_a_full_document_and_a_rare_kind_do_not_decide(spark):
     assert "phone" in models
     # negatives stand for more candidates than positives, so the probability of a plain run stays low
     assert [s for t in texts[1:200:2] for s in pii.find(t, models)[1] if s[2] == "phone"] == [s for t in texts[1:200:2] for s in pii.base_spans(t) if s[2] == "phone"]
+
+
+def test_one_id_with_different_vectors(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(0, [39.0, 1.0]), (8, [8.0, 1.0]), (8, [-50.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("id") == 0, k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 1.0), (2, 2, 2.0), (3, 3, 3.0), (4, 4, 4.0), (5, 5, 5.0)]
+    far = neighbours.nearest(df, F.col("id") == 0, k=60).collect()
+    assert len(far) == 39 and {r["score"] for r in far if r["vec_id"] == 8} == {50.0}
