@@ -1,12 +1,17 @@
 """Product brochures and generated text: parse, classify, extract, screen.
 
-Rules are column expressions over whole texts; there is no model call.
+Rules are column expressions over whole texts; there is no model call. The trained
+classifier learns from labelled rows and scores inside the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +22,13 @@ CATEGORY_WORDS: dict[str, tuple[str, ...]] = {
     "CREDIT_CARD": ("credit card", "cashback", "credit limit", "airport lounge", "reward points"),
     "PERSONAL_LOAN": ("personal financing", "personal loan", "unsecured", "early settlement"),
     "HOME_LOAN": ("home loan", "property value", "lock-in", "first home", "mortgage"),
-    "INVESTMENT": ("unit trust", "fund", "distribution", "capital guaranteed"),
+    "INVESTMENT": ("unit trust", "fund", "funds", "distribution", "capital guaranteed"),
     "INSURANCE": ("takaful", "insurance", "sum covered", "no-claim", "coverage period"),
 }
 
+#: Hashed words of the trained classifier; passes of its solver.
+HASHED_WORDS, PASSES = 1 << 16, 30
+
 #: Field -> (line labels, value pattern). A field is the first matching value of
 #: a line ``label: value``; patterns have exactly one group.
 _ANY = r"(\S[^\r\n]*?)"
@@ -110,15 +118,20 @@ def classify(
 ) -> DataFrame:
     """Add the category with most keyword hits, letter case ignored.
 
+    Keywords count where they stand as whole words: "fund" is not in "refund".
     Ties go to the earlier category; no hit gives NULL. Keywords are counted one
-    by one: a plain word is found by skipping search, an alternation is not.
+    by one, and only in texts that hold them at all, which a plain search tells.
     The folded text is a column of its own, so that it is computed once.
     """
     folded = df.withColumn("_folded", F.lower(ref(text)))
-    hits = {
-        f"_hits_{i}": sum((F.regexp_count("_folded", F.lit(w.lower().translate(_LITERAL))) for w in ws), F.lit(0))
-        for i, ws in enumerate(words.values())
-    }
+    letter = r"[\p{L}\p{N}_]"
+
+    def count(word: str) -> Column:
+        plain = word.lower()
+        whole = rf"(?<!{letter}){plain.translate(_LITERAL)}(?!{letter})"
+        return F.when(F.contains("_folded", F.lit(plain)), F.regexp_count("_folded", F.lit(whole))).otherwise(0)
+
+    hits = {f"_hits_{i}": sum((count(w) for w in ws), F.lit(0)) for i, ws in enumerate(words.values())}
     best = F.greatest(*[F.col(h) for h in hits])
     pick = F.when(best == 0, None)
     for h, category in zip(hits, words):
@@ -126,6 +139,45 @@ def classify(
     return folded.withColumns(hits).withColumn(name, pick).drop("_folded", *hits)
 
 
+def _lower_words(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_words", F.filter(F.split(F.lower(F.coalesce(ref(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def train_classifier(df: DataFrame, text: str, label: str) -> PipelineModel:
+    """Category of a text learned from labelled rows: hashed word counts, idf, logistic regression. Runs jobs.
+
+    Rows without a label are left out; classes weigh alike, however rare.
+    """
+    rows = df.where(ref(label).isNotNull()).select(ref(text), ref(label).cast("string").alias("_label"))
+    weight = (F.lit(1.0) / F.col("_n")).alias("_weight")
+    counts = rows.groupBy(F.col("_label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    weighed = _lower_words(rows.join(counts, F.col("_label") == F.col("_l")).select("*", weight), text)
+    names = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(weighed)
+    steps = Pipeline(
+        stages=[
+            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=HASHED_WORDS),
+            IDF(inputCol="_counts", outputCol="_tfidf", minDocFreq=2),
+            LogisticRegression(
+                featuresCol="_tfidf", labelCol="_index", weightCol="_weight", maxIter=PASSES, regParam=0.05,
+                rawPredictionCol="_raw", probabilityCol="_shares", predictionCol="_best",
+            ),
+            IndexToString(inputCol="_best", outputCol="_category", labels=names.labels),
+        ]
+    )
+    return steps.fit(names.transform(weighed))
+
+
+def classify_trained(df: DataFrame, model: PipelineModel, text: str, name: str = "product_category") -> DataFrame:
+    """Add the learned category and its probability (``<name>_share``); NULL and empty texts have neither."""
+    scored = model.transform(_lower_words(df, text))
+    some = F.size("_words") > 0
+    return scored.select(
+        *[ref(c) for c in df.columns],
+        F.when(some, F.col("_category")).alias(name),
+        F.when(some, F.array_max(vector_to_array("_shares"))).alias(f"{name}_share"),
+    )
+
+
 def extract_fields(text: Column, patterns: Mapping[str, str]) -> Column:
     """Struct of the first group of each pattern; no match and a blank one give NULL."""
     return F.struct(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")).alias(name) for name, p in patterns.items()])

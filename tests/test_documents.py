@@ -85,3 +85,34 @@ def test_context_line(spark):
         "Customer: Ann | Segment: Young Adult | Tenure: 3 years | Income: MYR 1,234,568 | Product: HOME_LOAN (62%)",
         "Customer: Valued Customer | Segment: Retail | Tenure: 0 years | Income: MYR 0 | Product: PENDING (0%)",
     ]
+
+
+def test_keywords_are_whole_words(spark):
+    texts = ["please refund my money", "a fund, and more funds.", "FUND", "profundo", "our takaful cover", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["c"] for r in d.classify(df, "t", "c").collect()] == [None, "INVESTMENT", "INVESTMENT", None, "INSURANCE", None]
+
+
+def test_trained_classifier_against_the_keyword_rules(spark):
+    """Held-out texts whose words the rules don't know: the learned classes are better, and no Python runs."""
+    import random
+
+    draw = random.Random(4)
+    said = {"CREDIT_CARD": "cashback swipe points lounge plastic", "HOME_LOAN": "mortgage house property bricks tenure", "INSURANCE": "takaful cover claim accident rider"}
+    rows = []
+    for i in range(600):
+        kind = list(said)[i % 3]
+        words = draw.choices(said[kind].split(), k=2) + draw.choices("the and of with pay bank month".split(), k=12)
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), kind if i % 10 else None, i % 4 == 0, "x"))
+    df = spark.createDataFrame(rows, "id int, text string, kind string, held boolean, _words string").drop("_words")
+    truth = {i: list(said)[i % 3] for i in range(600)}
+    model = d.train_classifier(df.where("not held"), "text", "kind")
+    out = d.classify_trained(d.classify(df.unionByName(spark.createDataFrame([(900, None, None, True), (901, " .", None, True)], df.schema)), "text", "rule"), model, "text", "c")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r["id"]: r for r in out.collect()}
+    assert got[900]["c"] is None and got[901]["c"] is None and got[901]["c_share"] is None
+    held = [i for i in truth if i % 4 == 0]
+    right = lambda name: sum(got[i][name] == truth[i] for i in held) / len(held)
+    assert right("c") > 0.97 > right("rule") and all(0 < got[i]["c_share"] <= 1 for i in held)
