@@ -10,6 +10,7 @@ from ledgerloom.functions.columns import ref
 from ledgerloom.operators import choose, joins
 from ledgerloom.operators.prepare import prepare, project
 from ledgerloom.queries.base import Tables, query
+from ledgerloom.sinks import tables
 from ledgerloom.sources.queries import run_sql
 from ledgerloom.sources.rescue import rescue_columns
 from pyspark.sql.types import StructType
@@ -225,7 +226,8 @@ def q_schema_evolve(t: Tables) -> DataFrame:
         F.col("s_acctbal").alias("balance"),
         F.lit("supplier").alias("segment"),
     )
-    return first.unionByName(second, allowMissingColumns=True)
+    target = tables.widened(first.schema, second.schema)
+    return tables.aligned(first, target).unionAll(tables.aligned(second, target))
 
 
 @query(

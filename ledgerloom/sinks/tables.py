@@ -39,10 +39,16 @@ def create_like(df: DataFrame, table: str, partition_by: Sequence[str] = ()) ->
         create_empty(df.sparkSession, table, cols, partition_by=partition_by)
 
 
+def widened(known: StructType, incoming: StructType) -> StructType:
+    """The known columns, then those of the incoming rows that differ from all of them by more than letter case."""
+    have = {n.lower() for n in known.fieldNames()}
+    return StructType([*known.fields, *[f for f in incoming.fields if f.name.lower() not in have]])
+
+
 def evolve(spark: SparkSession, table: str, incoming: StructType) -> list[str]:
     """Add the columns the table lacks; old rows read NULL. Returns their names."""
-    have = {f.name.lower(): f for f in scan(spark, table).schema.fields}
-    new = [f for f in incoming.fields if f.name.lower() not in have]
+    known = scan(spark, table).schema
+    new = widened(known, incoming).fields[len(known) :]
     if new:
         cols = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in new)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({cols})")

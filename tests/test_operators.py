@@ -68,6 +68,9 @@ def test_choose(odd, spark):
     assert choose.pick(odd, choose.by_name("contains", ".")).columns == ["a.b"]
     assert choose.pick(odd, choose.by_name("startsWith", "A.", case_sensitive=True)).columns == []
     assert choose.pick(odd, choose.by_name("endsWith", "IRD")).columns == ["we`ird"]
+    # Spark's own syntax: possessive quantifiers, letter classes, POSIX names.
+    assert choose.pick(odd, choose.by_name("regex", r"^\p{Lower}++[.`]")).columns == ["a.b", "we`ird"]
+    assert choose.pick(odd, choose.by_name("regex", r"^\p{Upper}$", case_sensitive=True)).columns == []
     assert choose.pick(odd, choose.by_type("integer"), keep=False).columns == ["a.b", "we`ird"]
     assert choose.pick(odd, choose.by_expression("Category = 'string' AND FieldNumber = 3")).columns == ["we`ird"]
     assert choose.pick(odd, choose.by_expression(" ")).columns == []
