@@ -26,32 +26,26 @@ INFINITY, MINUS_INFINITY, NOT_A_NUMBER = 1000, 2000, 3000
 _BELOW = 54
 
 
-def _times_power(value: Column, exponent: Column) -> Column:
-    """value * 2**exponent, in two steps so that the power stays a double."""
-    half = F.floor(exponent / 2)
-    return value * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), exponent - half)
-
-
 def with_digits(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add, for each named double, its bin ``<name>b`` and digits ``<name>d0`` (the place of the bin) and up.
+    """Add, for each named double (names are plain words), its bin ``<name>b`` and digits ``<name>d0`` (the place of the bin) and up.
 
     The steps are columns of their own, so that none is worked out twice.
     """
-    value, at, whole, high, low = ({n: F.col(n + s) for n in names} for s in ("", "b", "w", "h", "l"))
-    special = lambda v: F.when(F.isnan(v), NOT_A_NUMBER).when(v == float("inf"), INFINITY).when(v == float("-inf"), MINUS_INFINITY)
-    finite = lambda v: F.coalesce(F.floor(F.log2(F.abs(v)) / BITS).cast("int"), F.lit(0))  # noqa: E731  (zero has no logarithm)
-    step = float(1 << 2 * BITS)
-    df = df.withColumns({f"{n}b": F.when(v.isNotNull(), F.coalesce(special(v), finite(v))) for n, v in value.items()})
-    df = df.withColumns({f"{n}w": F.when(at[n] < INFINITY, _times_power(F.abs(value[n]), _BELOW - at[n] * BITS)) for n in names})
-    df = df.withColumns({f"{n}h": F.floor(w / step) for n, w in whole.items()})
-    df = df.withColumns({f"{n}l": (whole[n] - high[n] * step).cast("long") for n in names})
-    digits = {}
-    for n in names:
-        sign = F.when(value[n] < 0, F.lit(-1)).otherwise(F.lit(1))
-        for j, part in enumerate((low[n], low[n], high[n], high[n])):
-            digit = F.shiftright(part, BITS) if j % 2 else part.bitwiseAND(_BASE - 1)
-            digits[f"{n}d{j}"] = F.when(at[n] >= INFINITY, F.lit(0 if j else 1)).otherwise(digit * sign).cast("long")
-    return df.withColumns(digits).drop(*[n + s for n in names for s in ("w", "h", "l")])
+    step = 1 << 2 * BITS
+    special = f"WHEN isnan({{n}}) THEN {NOT_A_NUMBER} WHEN {{n}} = double('Infinity') THEN {INFINITY} WHEN {{n}} = double('-Infinity') THEN {MINUS_INFINITY}"
+    digit = "CASE WHEN {n}b IS NULL THEN NULL WHEN {n}b >= %d THEN %dL ELSE IF({n} < 0, -1L, 1L) * (%s) END"
+    parts = [f"{{n}}l & {_BASE - 1}L", f"shiftright({{n}}l, {BITS})", f"{{n}}h & {_BASE - 1}L", f"shiftright({{n}}h, {BITS})"]
+    steps = [
+        # Zero has no logarithm.
+        {"b": f"CASE WHEN {{n}} IS NULL THEN NULL {special} ELSE coalesce(CAST(floor(log2(abs({{n}})) / {BITS}) AS INT), 0) END"},
+        {"w": f"IF({{n}}b < {INFINITY}, {_power('abs({n})', f'{_BELOW} - {{n}}b * {BITS}')}, NULL)"},
+        {"h": f"floor({{n}}w / {step}D)"},
+        {"l": f"CAST({{n}}w - {{n}}h * {step}D AS BIGINT)"},
+        {f"d{j}": digit % (INFINITY, not j, part) for j, part in enumerate(parts)},
+    ]
+    for columns in steps:
+        df = df.withColumns({n + c: F.expr(text.replace("{n}", n)) for n in names for c, text in columns.items()})
+    return df.drop(*[n + c for n in names for c in "whl"])
 
 
 def _power(value: str, exponent: str) -> str:

@@ -117,18 +117,15 @@ class _Partials:
     def _settled(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """One row per keys: parts merged, and the places of every sum as an array."""
         own = [ref(k) for k in keys]
-        whole = F.struct(*[F.col(n) for n, _, _ in self.parts], F.lit(True).alias("_seen"))
-        row = lambda i, place, digit, parts: F.struct(
-            F.lit(i).alias("_i"), place.alias("_place"), digit.alias("_digit"), parts.alias("_parts")
-        )
-        nothing = F.lit(None)
-        rows = [row(-1, nothing.cast("int"), nothing.cast("long"), whole)]
+        # Row -1 has the parts, the others a place of a sum each.
+        parts = f"struct({', '.join([*[n for n, _, _ in self.parts], 'true AS _seen'])}) AS _parts"
+        rows = [f"struct(-1 AS _i, CAST(NULL AS INT) AS _place, CAST(NULL AS BIGINT) AS _digit, {parts})"]
         for i, (n, _) in enumerate(self.binned):
-            rows += [row(i, F.col(f"{n}b") + j, F.col(f"{n}d{j}"), F.when(F.lit(False), whole)) for j in range(exact.DIGITS)]
+            rows += [f"struct({i} AS _i, {n}b + {j} AS _place, {n}d{j} AS _digit, NULL AS _parts)" for j in range(exact.DIGITS)]
         # The partial rows of a key meet once; both aggregations below use that partitioning.
         spread = df.repartition(*own) if own else df
         merged = (
-            spread.select(*own, F.inline(F.array(*rows)))
+            spread.select(*own, F.expr(f"inline(array({', '.join(rows)}))"))
             .where("_i < 0 or _place is not null")
             .groupBy(*own, "_i", "_place")
             .agg(F.sum("_digit").alias("_digit"), *[merge(F.col(f"_parts.{n}")).alias(n) for n, _, merge in self.parts])
