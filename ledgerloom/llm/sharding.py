@@ -34,7 +34,7 @@ PACKETS = 8192
 #: Bins of the fixed capacity that one region should fill.
 REGION_BINS = 64
 #: Rows of a shard numbered in one task.
-SLOT_ROWS = 1_000_000
+SLOT_ROWS = 100_000
 
 
 class CapacityTree:
@@ -142,8 +142,8 @@ def _items(rows: DataFrame, total: int, regions: int = 1) -> DataFrame:
 
 def with_slots(rows: DataFrame, shard: str = "shard", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add ``slot``: gapless numbers from 0 within each shard, in hash slices of bounded size."""
-    spark = rows.sparkSession
-    slices = max(1, -(-rows.count() // SLOT_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    # The number of slices follows from the rows alone: the same input gets the same slots on any cluster.
+    slices = max(1, -(-rows.count() // SLOT_ROWS))
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     counts = rows.groupBy(shard, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(shard).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))

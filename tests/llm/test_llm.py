@@ -95,6 +95,17 @@ def test_shards_of_many_groups_are_even(spark):
     assert got.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
 
+def test_slots_do_not_hang_on_the_cluster(spark):
+    df = docs(spark, [f"{i % 300} " * (1 + i % 9) for i in range(2000)])
+    took = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        took.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.pack_even(df, 5).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert took[0] == took[1]
+
+
 def test_fixed_capacity(spark, empty):
     got = sharding.pack_capacity(docs(spark, [f"{i}" * (1 + i % 50) for i in range(3000)]), 2000)
     loads = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
