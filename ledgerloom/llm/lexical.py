@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
-from ledgerloom.llm.common import query, staged, table
+from ledgerloom.llm.common import query, release, released, staged, table
 
 #: Terms are the maximal matches; only A-Z lose their case.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,7 +50,7 @@ _TERM_BYTES = bytes(
     c if c >= 0x80 or chr(c).isalnum() and chr(c) == chr(c).lower() else c + 32 if chr(c).isupper() and c < 0x80 else 0x20 for c in range(256)
 )
 #: Characters of text in a block, blocks in a group, terms of items in a batch.
-BLOCK_CHARS, GROUP, BATCH_TERMS = 4_000_000, 8, 65_536
+BLOCK_CHARS, GROUP, BATCH_TERMS = 4_000_000, 4, 65_536
 #: Entries that an item opens at a time, so that many items share one numpy call.
 AHEAD = 4
 #: An entry of so many halvings above one document is scored whole.
@@ -200,10 +200,28 @@ def descend(treap: K2Treap, ids: np.ndarray, asked: Sequence[tuple[np.ndarray, n
     return opened
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Values from zero on as unsigned numbers of the least width that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` values of ``packed``; the width follows from their number."""
+    return np.frombuffer(data, f"u{data.size // n}").astype(np.int64)
+
+
+def _grid(spelled: bytes, found: pa.Buffer) -> tuple[pa.Array, np.ndarray]:
+    """The terms of a block and how many of its documents hold each."""
+    names = pa.array(spelled.split(b" "), pa.binary())
+    return names, unpacked(found, len(names))
+
+
 def index(df: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block: ids (ascending, NULL last) and lengths of its documents, its terms, their document frequencies, columns and counts.
 
-    Documents without a term have no column.
+    Documents without a term have no column. What grows with the text is packed
+    (terms joined by blanks, numbers in as few bytes as they need), since the JVM
+    holds several blocks at once while they are staged, sorted and sent.
     """
     rows = df.select(ref(key).cast("long").alias("_id"), ref(text).alias("_text"))
 
@@ -216,16 +234,16 @@ def index(df: DataFrame, key: str = "doc_id", text: str = "text", block_chars: i
         values = {
             "ids": pa.array([[i for i, _ in held]], pa.list_(pa.int64())),
             "lengths": pa.array([lengths], pa.list_(pa.int64())),
-            "terms": pa.array([spelled.dictionary.to_pylist()], pa.list_(pa.binary())),
-            "found": pa.array([np.bincount(cells // len(held), minlength=len(spelled.dictionary))], pa.list_(pa.int64())),
-            "columns": pa.array([(cells % len(held)).astype(np.int32).tobytes()], pa.binary()),
-            "counts": pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
+            "terms": pa.array([b" ".join(spelled.dictionary.to_pylist())], pa.binary()),
+            "found": pa.array([packed(np.bincount(cells // len(held), minlength=len(spelled.dictionary)))], pa.binary()),
+            "columns": pa.array([packed(cells % len(held))], pa.binary()),
+            "counts": pa.array([packed(counts)], pa.binary()),
         }
         return pa.RecordBatch.from_pydict(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, chars = [], 0
-        for batch in batches:
+        for batch in released(batches):
             for i, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
                 text = text.as_py()
                 if words := terms(text):
@@ -234,10 +252,25 @@ def index(df: DataFrame, key: str = "doc_id", text: str = "text", block_chars: i
                     if chars >= block_chars:
                         yield pack(held)
                         held, chars = [], 0
+                        release()
         if held:
             yield pack(held)
+        held = []
+        release()
+
+    return rows.mapInArrow(run, "ids array<long>, lengths array<long>, terms binary, found binary, columns binary, counts binary")
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    """term, df: a row per block and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            for spelled, found in zip(batch.column("terms"), batch.column("found")):
+                names, df = _grid(spelled.as_py(), found.as_buffer())
+                yield pa.RecordBatch.from_arrays([names, pa.array(df)], names=["term", "df"])
 
-    return rows.mapInArrow(run, "ids array<long>, lengths array<long>, terms array<binary>, found array<long>, columns binary, counts binary")
+    return blocks.select("terms", "found").mapInArrow(run, "term binary, df long")
 
 
 def _weighted(blocks: DataFrame, items: DataFrame, n_docs: int, key: str, text: str) -> DataFrame:
@@ -254,8 +287,7 @@ def _weighted(blocks: DataFrame, items: DataFrame, n_docs: int, key: str, text:
     name = F.sha2(F.to_json(F.struct("item_id", "_text")), 256)
     distinct = items.select(ref(key).alias("item_id"), ref(text).alias("_text")).distinct().select(name.alias("item"), "item_id", "_text")
     asked = staged(distinct.mapInArrow(run, f"item string, item_id {dict(distinct.dtypes)['item_id']}, term binary, times long"))
-    found = blocks.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("found").alias("df"))))
-    df = found.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = _frequencies(blocks).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1)))
     return (
         asked.join(df, "term")
@@ -300,20 +332,22 @@ def search(
         return (UNIT * counts) // (SCALE * counts + SATURATION * norm)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = [(t, np.array(w, np.int64)) for t, w in zip(right["asked"].to_pylist(), right["weights"].to_pylist())]
+        wanted = [np.array(w, np.int64) for w in right["weights"].to_pylist()]
+        ends = np.cumsum([len(w) for w in wanted])[:-1]
+        asked_terms = right["asked"].combine_chunks().flatten().cast(pa.binary())
         rankings = [Ranking(k) for _ in wanted]
         for i in range(left.num_rows if wanted else 0):
             ids = pc.fill_null(left["ids"][i].values, _LAST).to_numpy()
-            lengths, found = (left[c][i].values.to_numpy() for c in ("lengths", "found"))
-            columns, counts = (np.frombuffer(left[c][i].as_buffer(), np.int32).astype(np.int64) for c in ("columns", "counts"))
+            lengths = left["lengths"][i].values.to_numpy()
+            names, found = _grid(left["terms"][i].as_py(), left["found"][i].as_buffer())
+            columns, counts = (unpacked(left[c][i].as_buffer(), found.sum()) for c in ("columns", "counts"))
             rows = np.repeat(np.arange(len(found)), found)
             treap = K2Treap(rows, columns, impacts(counts, lengths[columns]))
-            place = {t: r for r, t in enumerate(left["terms"][i].values.to_pylist())}
-            here = []
-            for names, weights in wanted:
-                at = np.array([place.get(t, -1) for t in names], np.int64)
-                here.append((at[at >= 0], weights[at >= 0]))
+            at = pc.fill_null(pc.index_in(asked_terms, value_set=names), -1).to_numpy().astype(np.int64)
+            here = [(a[a >= 0], w[a >= 0]) for a, w in zip(np.split(at, ends), wanted)]
             descend(treap, ids, here, rankings)
+            del columns, counts, rows, treap, names
+            release()
         best = [(j, -d, s) for j, r in enumerate(rankings) for s, d in r.heap]
         which = pa.array([b[0] for b in best], pa.int64())
         docs = pa.array([None if b[1] == _LAST else b[1] for b in best], pa.int64())

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +95,29 @@ def test_search_equals_plain_scoring(spark, block_chars):
     assert sorted(some, key=str) == plain(docs, items, 3)
 
 
+@given(st.lists(st.integers(0, 2**40) | st.integers(0, 300), min_size=1, max_size=50))
+def test_packed_numbers_come_back(values):
+    data = lexical.packed(np.array(values))
+    assert lexical.unpacked(pa.py_buffer(data), len(values)).tolist() == values
+    assert len(data) <= 8 * len(values) and (max(values) > 255 or len(data) == len(values))
+
+
+def test_blocks_are_packed(spark):
+    """Blocks cross the JVM; they take fewer bytes than their texts, and hold every term of every document."""
+    draw = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{w}" for w in draw.zipf(1.3, 300) % 5000)) for i in range(400)]
+    df = spark.createDataFrame([(i, t, 1, 1, "s", "t") for i, t in docs], SCHEMA)
+    seen, size = Counter(), 0
+    for block in lexical.index(df, block_chars=100_000).collect():
+        size += sum(len(block[c]) for c in ("terms", "found", "columns", "counts"))
+        names, found = lexical._grid(bytes(block["terms"]), pa.py_buffer(block["found"]))
+        columns, counts = (lexical.unpacked(pa.py_buffer(block[c]), found.sum()) for c in ("columns", "counts"))
+        for term, column, count in zip(np.repeat(names.to_pylist(), found).tolist(), columns, counts):
+            seen[block["ids"][column], term.decode()] += int(count)
+    assert seen == Counter((i, w) for i, t in docs for w in t.split())
+    assert size < sum(len(t) for _, t in docs)
+
+
 def test_empty(spark):
     none, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "a b", 2, 1, "s", "t")], SCHEMA)
     assert [lexical.search(a, b).count() for a, b in ((none, none), (none, one), (one, none))] == [0, 0, 0]
