@@ -6,6 +6,7 @@ classifier learns from labelled rows and scores inside the JVM.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import ref
+from ledgerloom.operators.sizes import settle
+from ledgerloom.session import shared_dir
 
 # Categories in class order, with the words that speak for each.
 CATEGORY_WORDS: dict[str, tuple[str, ...]] = {
@@ -146,16 +149,22 @@ def _lower_words(df: DataFrame, text: str) -> DataFrame:
 def train_classifier(df: DataFrame, text: str, label: str) -> PipelineModel:
     """Category of a text learned from labelled rows: hashed word counts, idf, logistic regression. Runs jobs.
 
-    Rows without a label are left out; classes weigh alike, however rare.
+    Rows without a label are left out; classes weigh alike, however rare. The rows
+    are read once: their word counts are staged in the shared folder, and every pass
+    reads those, spread as they were written, whatever the number of classes.
     """
     rows = df.where(ref(label).isNotNull()).select(ref(text), ref(label).cast("string").alias("_label"))
-    weight = (F.lit(1.0) / F.col("_n")).alias("_weight")
-    counts = rows.groupBy(F.col("_label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    weighed = _lower_words(rows.join(counts, F.col("_label") == F.col("_l")).select("*", weight), text)
-    names = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(weighed)
+    hashing = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=HASHED_WORDS)
+    hashed = hashing.transform(_lower_words(rows, text)).select("_label", "_counts")
+    path = f"{shared_dir(df.sparkSession)}/classifier-{uuid.uuid4().hex}"
+    hashed.write.parquet(path)
+    hashed = df.sparkSession.read.schema(hashed.schema).parquet(path)
+    counts = hashed.groupBy(F.col("_label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    weights = settle(counts.select("_l", (F.lit(1.0) / F.col("_n")).alias("_weight")))
+    weighed = hashed.join(weights, F.col("_label") == F.col("_l")).drop("_l")
+    names = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(hashed)
     steps = Pipeline(
         stages=[
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=HASHED_WORDS),
             IDF(inputCol="_counts", outputCol="_tfidf", minDocFreq=2),
             LogisticRegression(
                 featuresCol="_tfidf", labelCol="_index", weightCol="_weight", maxIter=PASSES, regParam=0.05,
@@ -164,7 +173,7 @@ def train_classifier(df: DataFrame, text: str, label: str) -> PipelineModel:
             IndexToString(inputCol="_best", outputCol="_category", labels=names.labels),
         ]
     )
-    return steps.fit(names.transform(weighed))
+    return PipelineModel([hashing, *steps.fit(names.transform(weighed)).stages])
 
 
 def classify_trained(df: DataFrame, model: PipelineModel, text: str, name: str = "product_category") -> DataFrame:

@@ -52,9 +52,10 @@ def q_doc_classify(t: Tables) -> DataFrame:
 def q_doc_trained(t: Tables) -> DataFrame:
     """Quality of every document, learned from the labelled ones of four folds of five."""
     folded = t.documents.select("doc_id", "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
-    rows = folded.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    model = d.train_classifier(rows.where("not held_out"), "text", "quality")
-    return d.classify_trained(rows, model, "text", "predicted").select("doc_id", "quality", "held_out", "predicted")
+    labels = t.labels.select("doc_id", "quality")
+    model = d.train_classifier(folded.where("not held_out").join(labels, "doc_id"), "text", "quality")
+    scored = d.classify_trained(folded, model, "text", "predicted").select("doc_id", "held_out", "predicted")  # texts stay where they are read
+    return scored.join(labels, "doc_id", "left").select("doc_id", "quality", "held_out", "predicted")
 
 
 #: Field -> pattern over "url <newline> html".

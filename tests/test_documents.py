@@ -116,3 +116,31 @@ def test_trained_classifier_against_the_keyword_rules(spark):
     held = [i for i in truth if i % 4 == 0]
     right = lambda name: sum(got[i][name] == truth[i] for i in held) / len(held)
     assert right("c") > 0.97 > right("rule") and all(0 < got[i]["c_share"] <= 1 for i in held)
+
+
+def test_training_reads_once_and_spreads_two_classes(spark):
+    """Two classes don't mean two tasks, and texts are not read again for every pass."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    said = ["red apple pie", "blue deep sea"]
+    df = spark.createDataFrame([(f"{said[i % 2]} w{i % 7}", i % 2) for i in range(400)], "raw string, kind int").repartition(6)
+    df = df.select(F.udf(seen, "string")("raw").alias("text"), "kind")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("two classes", "training")
+    try:
+        model = d.train_classifier(df, "text", "kind")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert reads.value == 400
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("two classes") for s in status.getJobInfo(j).stageIds]
+    passes = [s.numTasks for s in stages if s and s.name.startswith("treeAggregate")]
+    assert max(passes) > 2
+    asked = spark.createDataFrame([("an apple",), ("the sea",)], "text string")
+    assert [r["c"] for r in d.classify_trained(asked, model, "text", "c").collect()] == ["0", "1"]
